@@ -7,13 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Entries of a worker's word cache before it starts afresh; bounds a worker's memory, changes no result.
-CACHE_WORDS = 300_000
 #: Rows in one Arrow batch; documents may be long, so batches are kept short.
 BATCH_ROWS = 1000
 
@@ -58,18 +56,72 @@ def as_bytes(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*cols, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, with a bounded cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+#: For word hashes: a random odd base, its inverse modulo 2^64, and a random value for each byte.
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 2**64)
+_BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, U64)
+_LOWER = _BYTE.copy()
+_LOWER[65:91] = _BYTE[97:123]
+#: ASCII white space, [\x20\x09-\x0D].
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(size, base, U64)
+            p[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS[k] = np.cumprod(p)
+    return _POWERS
+
+
+def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column without copying it."""
+    if len(col) == 0:
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type) else np.int32
+    buffers = col.buffers()
+    offsets = np.frombuffer(buffers[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words of each document) of all words, runs of bytes that aren't white space."""
+    n = len(data)
+    if n == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+    ink = ~IS_SPACE[data]
+    first, last = ink.copy(), ink.copy()
+    first[1:] &= ~ink[:-1]
+    last[:-1] &= ~ink[1:]
+    edge = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[edge] = ink[edge]
+    edge = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    last[edge] = ink[edge]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    cuts = np.searchsorted(start, offsets)
+    return start, end, np.diff(cuts)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (of its length and bytes, A-Z lower-cased if asked), without a loop."""
+    power, inverse = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum((_LOWER if lower else _BYTE)[data] * power[: len(data)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
 
 
-def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), U64, len(words))
+def words_of(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each document) of a binary column of texts."""
+    data, offsets = buffer_of(col)
+    start, end, lengths = word_spans(data, offsets)
+    return span_hashes(data, start, end, lower), lengths
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,11 +165,16 @@ def flat_windows(h: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.nda
     )
 
 
-def batches(it: Iterator, rows: int = BATCH_ROWS) -> Iterator:
-    """Arrow batches cut to at most the given number of rows."""
+def batches(it: Iterator, rows: int = BATCH_ROWS, column: int = 1, size: int = 16_000_000) -> Iterator:
+    """Arrow batches cut to at most so many rows and, but for single long rows, bytes of the named binary column."""
     for b in it:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, rows)
+            _, offsets = buffer_of(part.column(column))
+            n = max(1, int(np.searchsorted(offsets, size, "right")) - 1)
+            yield part.slice(0, n)
+            at += min(n, part.num_rows)
 
 
 def crc_mod(col: str, mod: int):

@@ -19,6 +19,7 @@ rows of their own; a class is named by the least doc_id in it (null only if all
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,30 +28,43 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import U64, WordHashes, as_bytes, batches, flat_windows, materialize, mix, tuned, word_hashes
+from rillflow.llm.common import U64, as_bytes, batches, flat_windows, materialize, mix, tuned, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 #: Expected points for each component before a document's time horizon; documents with an empty component run on.
-HORIZON = 13.0
+HORIZON = 7.0
 SWEEP = 8
 
 
-def bags(texts: list[bytes], cache: WordHashes, width: int = WIDTH):
-    """(document index, shingle hash, multiplicity) of distinct shingles, documents in order; words per document."""
-    words, lengths = [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = t.lower().split()
-        lengths[i] = len(w)
-        words += w
-    h, doc, _ = flat_windows(word_hashes(words, cache), lengths, width)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(np.append(at, len(h))), lengths
+def bags(col: pa.Array, width: int = WIDTH):
+    """Of a binary column of texts: (document index, shingle hash, multiplicity) of distinct shingles, documents in
+    order; a 128-bit key of each document's word sequence (None without words)."""
+    words, lengths = words_of(col)
+    cuts = np.append(0, np.cumsum(lengths))
+    nodes = [xxhash.xxh3_128_digest(words[a:b].tobytes()) if b > a else None for a, b in itertools.pairwise(cuts)]
+    h, doc, _ = flat_windows(words, lengths, width)
+    count = np.ones(len(h), np.int64)
+    key = mix(h ^ mix(doc.astype(U64)))
+    ranked = np.sort(key)
+    twice = ranked[1:] == ranked[:-1]
+    if twice.any():  # only what repeats is counted and merged
+        found = np.unique(ranked[1:][twice])
+        at = np.minimum(np.searchsorted(found, key), len(found) - 1)
+        again = found[at] == key
+        where = np.flatnonzero(again)
+        _, first, n = np.unique(key[where], return_index=True, return_counts=True)
+        count[where[first]] = n
+        keep = ~again
+        keep[where[first]] = True
+        h, doc, count = h[keep], doc[keep], count[keep]
+        order = np.argsort(doc, kind="stable")
+        h, doc, count = h[order], doc[order], count[order]
+    elif (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        h, doc, count = h[order], doc[order], count[order]
+    return doc, h, count, nodes
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -67,27 +81,31 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, m
         wanted[todo] = True
         ids, hs, low, size, top = [], [], [], [], []
         lo, step, j = 0, 1, 0
-        live = wanted[doc]
-        while live.any():  # interval j covers the units lo + 1 .. lo + step
-            k = int(live.sum())
+        live = np.flatnonzero(wanted[doc])
+        while len(live):  # interval j covers the units lo + 1 .. lo + step
             ids.append(doc[live]), hs.append(mix(h[live] ^ mix(np.full(1, j + 1, U64))))
-            low.append(np.full(k, lo)), size.append(np.full(k, step)), top.append(count[live])
+            low.append(np.full(len(live), lo)), size.append(np.full(len(live), step)), top.append(count[live])
             lo, step, j = lo + step, step if j == 0 else step * 2, j + 1
-            live = live & (count > lo)
-        e, state, lo_, size_, top_ = map(np.concatenate, (ids, hs, low, size, top))
-        until, t = (horizon / np.maximum(weight, 1))[e], np.zeros(len(e))
+            live = live[count[live] > lo]
+        e, state, lo, size, top = map(np.concatenate, (ids, hs, low, size, top))
+        # an entry's time is measured in steps of its own rate, m * size
+        until = (horizon / np.maximum(weight, 1))[e] * (m * size)
+        t, at_e = np.zeros(len(e)), np.arange(len(e))
         found_at, found_t, found_id = [], [], []
-        while len(e):
+        while len(at_e):
             state = mix(state)
-            t = t - np.log(uniform(state)) / (m * size_)
-            ok = t <= until
-            e, state, lo_, size_, top_, until, t = (x[ok] for x in (e, state, lo_, size_, top_, until, t))
+            t = t - np.log(uniform(state))
+            ok = np.flatnonzero(t <= until)
+            at_e, state, until, t = at_e[ok], state[ok], until[ok], t[ok]
             point = mix(state ^ U64(0xD6E8FEB86659FD93))
-            unit = lo_ + 1 + ((point >> U64(40)).astype(np.int64) % size_)
-            good = unit <= top_
+            s = size[at_e]
+            good = slice(None)
+            if len(s) and s.max() > 1:
+                unit = lo[at_e] + 1 + ((point >> U64(44)).astype(np.int64) & (s - 1))
+                good = np.flatnonzero(unit <= top[at_e])
             p = point[good]
-            found_at.append(e[good] * m + (p & U64(0xFFFFF)).astype(np.int64) % m)
-            found_t.append(t[good])
+            found_at.append(e[at_e[good]] * m + (((p & U64(0xFFFFF)) * U64(m)) >> U64(20)).astype(np.int64))
+            found_t.append(t[good] / (m * s[good]))
             found_id.append((mix(p) >> U64(32)).astype(np.uint32) | np.uint32(1))
         at, when, pid = map(np.concatenate, (found_at, found_t, found_id))
         order = np.argsort(-when, kind="stable")  # the earliest is written last
@@ -111,23 +129,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def node_of(text: bytes) -> bytes | None:
-    words = text.lower().split()
-    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
-
-
 SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
     for b in batches(it):
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        doc, h, count, _ = bags(texts, cache)
-        keys = band_keys(signatures(doc, h, count, len(texts)))
-        nodes = [node_of(t) for t in texts]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), lists], schema=SIGNED)
+        doc, h, count, nodes = bags(b.column(1))
+        keys = band_keys(signatures(doc, h, count, b.num_rows))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), lists], schema=SIGNED)
 
 
 SHINGLED = pa.schema([("node", pa.binary()), ("bag", pa.binary())])
@@ -135,16 +145,14 @@ SHINGLED = pa.schema([("node", pa.binary()), ("bag", pa.binary())])
 
 def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, sorted 32-bit fingerprints of (shingle, k-th occurrence)) of each text."""
-    cache = WordHashes()
-    for b in batches(it):
-        texts = b.column(0).to_pylist()
-        doc, h, count, _ = bags(texts, cache)
+    for b in batches(it, column=0):
+        doc, h, count, nodes = bags(b.column(0))
         which = np.repeat(np.arange(len(h)), count)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         prints = (mix(h[which] ^ mix(nth.astype(U64))) >> U64(32)).astype(np.uint32)
-        edges = np.searchsorted(doc[which], np.arange(len(texts) + 1))
-        bag = [np.sort(prints[edges[i] : edges[i + 1]]).tobytes() for i in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in texts], pa.binary()), pa.array(bag, pa.binary())], schema=SHINGLED)
+        edges = np.searchsorted(doc[which], np.arange(b.num_rows + 1))
+        bag = [np.sort(prints[p:q]).tobytes() for p, q in itertools.pairwise(edges)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(bag, pa.binary())], schema=SHINGLED)
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -161,7 +169,7 @@ LINKED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.fl
 
 
 def compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it, 500):
+    for batch in batches(it, 500, column=2):
         a, b, x, y = (batch.column(k).to_pylist() for k in ("a", "b", "bag_a", "bag_b"))
         s = [similarity(p, q) for p, q in zip(x, y, strict=True)]
         keep = [i for i, v in enumerate(s) if v >= SIMILARITY]

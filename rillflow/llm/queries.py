@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from rillflow.llm import op03_bagminhash
+from rillflow.llm import op03_bagminhash, op06_quality, op10_linededup
 
 QUERIES = {
     "op3_bagminhash": op03_bagminhash.query,
+    "op6_quality": op06_quality.query,
+    "op10_linededup": op10_linededup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality": op06_quality.ORACLE,
+    "op10_linededup": op10_linededup.ORACLE,
+}
