@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.functions.ship import ship
+
 U64 = np.uint64
 #: Rows in one Arrow batch; documents may be long, so batches are kept short.
 BATCH_ROWS = 1000
@@ -44,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def tuned(spark: SparkSession) -> SparkSession:
     """Short Arrow batches, so that a worker's memory doesn't follow the length of documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
