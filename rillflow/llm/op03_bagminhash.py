@@ -7,11 +7,14 @@ of the interval, and counts if the unit is at most the shingle's multiplicity. A
 counts for it. Two components are equal with the probability of the weighted Jaccard similarity of the two bags.
 
 1. one pass over the texts: a 128-bit key of the word sequence (exact copies are one node), signature, band keys;
-2. nodes that share a band key are a bucket; each member is tried against the bucket's hub (its least node);
+2. nodes that share a band key are a bucket; its hub is the member with the largest buckets in all, so the text that many
+   near copies stem from is the hub of most of them; each member is tried against the hub;
 3. tries are verified on the exact multisets, links are merged to components by large-star / small-star steps;
-4. buckets that hold more than one component are swept: unswept members outside the hub's component, SWEEP at a time,
-   are tried against all members in other components, until nothing is left. No bucket is capped, and no group is
-   collected: copies of a text are one node, and near copies join the hub's component without pairs among themselves.
+4. in buckets that still hold more than one component, members outside the hub's are tried against all members of other
+   components, in blocks of bounded size; a pair is tried in the first band it shares only. So no bucket is
+   capped, no group is collected, and copies that the hub has gathered make no pairs among themselves.
+
+A pair of which under LIKELY of the components agree isn't verified: of pairs at the threshold, one in fifty thousand.
 
 Nulls and texts without a word belong to no group: each such row is its own class. Rows that repeat a doc_id are
 rows of their own; a class is named by the least doc_id in it (null only if all its ids are null).
@@ -25,17 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import U64, as_bytes, batches, flat_windows, materialize, mix, tuned, words_of
+from rillflow.llm.common import U64, as_bytes, batches, flat_windows, materialize, mix, table, tuned, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 #: Expected points for each component before a document's time horizon; documents with an empty component run on.
 HORIZON = 7.0
-SWEEP = 8
+#: Members of a block in step 4, about: outside the hub's component, and all.
+ACROSS, DOWN = 256, 512
+#: Share of signature components (8 bits of each) that must agree before a pair is verified.
+LIKELY = 0.62
 
 
 def bags(col: pa.Array, width: int = WIDTH):
@@ -129,15 +135,16 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
         doc, h, count, nodes = bags(b.column(1))
-        keys = band_keys(signatures(doc, h, count, b.num_rows))
+        sig = signatures(doc, h, count, b.num_rows)
+        keys, short = band_keys(sig), (sig >> np.uint32(8)).astype(np.uint8)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), lists], schema=SIGNED)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), lists, pa.array([x.tobytes() for x in short], pa.binary())], schema=SIGNED)
 
 
 SHINGLED = pa.schema([("node", pa.binary()), ("bag", pa.binary())])
@@ -176,14 +183,28 @@ def compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([b[i] for i in keep], pa.binary()), pa.array([s[i] for i in keep], pa.float64())], schema=LINKED)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough, with their similarity. Only texts of nodes in pairs are read."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("need_id")).distinct()
+def likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, M) for k in (2, 3))
+        keep = pa.array((x == y).mean(axis=1) >= LIKELY)
+        yield batch.select([0, 1]).filter(keep)
+
+
+def bags_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, bag) of the nodes; of the texts, only theirs are read."""
+    need = nodes.select(F.col("first_id").alias("need_id")).distinct()
     texts = as_bytes(docs, "doc_id").join(need, F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi").select("text")
-    bag = materialize(texts.mapInArrow(shingled, "node binary, bag binary").where("node is not null").dropDuplicates(["node"]), "bags")
-    left = pairs.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    both = left.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(compared, "a binary, b binary, similarity double")
+    found = texts.mapInArrow(shingled, "node binary, bag binary").join(nodes.select("node"), "node", "left_semi")
+    return materialize(found.dropDuplicates(["node"]), "bags")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, bag: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bags overlap enough, with their similarity."""
+    sig = lambda k: nodes.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}"))
+    some = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(likely, "a binary, b binary")
+    own = lambda k: bag.select(F.col("node").alias(k), F.col("bag").alias(f"bag_{k}"))
+    both = some.join(own("a"), "a").join(own("b"), "b").select("a", "b", "bag_a", "bag_b")
+    return materialize(both.mapInArrow(compared, "a binary, b binary, similarity double"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,54 +225,76 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small, "edges")
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, links). classes: doc_id, node, class_id, class_size, n_links of each row of docs; links: node a, b and
-    similarity of every verified pair of different texts."""
+def block(t: pa.Table) -> pa.Table:
+    """Links between the two sides of a block: rows (band key, side 0 or 1, node, comp, keys, sig, bag)."""
+    t = t.combine_chunks()
+    key = t.column("key")[0].as_py() if t.num_rows else 0
+    side = t.column("side").to_numpy()
+    keys = np.array(t.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, M)
+    node, bag = t.column("node").to_pylist(), [np.frombuffer(x, np.uint32) for x in t.column("bag").to_pylist()]
+    _, comp = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)
+    rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out: list[tuple] = []
+    if len(rows) and len(cols):
+        band = int(np.flatnonzero(keys[rows[0]] == key)[0])
+        for r in rows:
+            c = cols[comp[cols] != comp[r]]
+            c = c[~(keys[c, :band] == keys[r, :band]).any(axis=1)]
+            c = c[(sig[c] == sig[r]).mean(axis=1) >= LIKELY]
+            own = len(bag[r])
+            c = np.array([k for k in c if min(own, len(bag[k])) >= SIMILARITY * max(own, len(bag[k]))], np.int64)
+            if not len(c):
+                continue
+            flat = np.concatenate([bag[k] for k in c])
+            hit = bag[r][np.minimum(np.searchsorted(bag[r], flat), own - 1)] == flat
+            sizes = np.array([len(bag[k]) for k in c])
+            same = np.add.reduceat(hit, np.cumsum(sizes) - sizes)
+            for k, s in zip(c, same / (own + sizes - same), strict=True):
+                if s >= SIMILARITY:
+                    out.append((max(node[r], node[k]), min(node[r], node[k]), float(s)))
+    return pa.Table.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.float64()))], schema=LINKED)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, node, class_id, class_size of each row of docs."""
     spark = tuned(docs.sparkSession)
-    signed = materialize(as_bytes(docs, "doc_id").mapInArrow(sign, "doc_id long, node binary, keys array<long>"), "signed")
-    nodes = materialize(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("keys").alias("keys")), "nodes")
+    signed = materialize(as_bytes(docs, "doc_id").mapInArrow(sign, "doc_id long, node binary, keys array<long>, sig binary"), "signed")
+    nodes = materialize(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
     members = nodes.select(F.explode("keys").alias("key"), "node")
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    member = materialize(members.join(hubs, "key"), "members")
-    pairs = materialize(member.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    tried, links = pairs, materialize(verified(docs, nodes, pairs), "links")
-    wide = member.where("size > 2")
-    swept = None
-    while True:
-        comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = wide.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-        inside = materialize(named.join(mixed, "key"), "mixed")
-        of_hub = inside.where("node = hub").select("key", F.col("comp").alias("hub_comp"))
-        out = inside.join(of_hub, "key").where("comp != hub_comp and node != hub")
-        if swept is not None:
-            out = out.join(swept, ["key", "node"], "left_anti")
-        turn = Window.partitionBy("key").orderBy("node")
-        block = materialize(out.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SWEEP).select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp")), "sweep")
-        if block.isEmpty():
-            break
-        fresh = block.join(inside, "key").where("comp != x_comp").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "pairs")
-        done = block.select("key", F.col("x").alias("node"))
-        swept = done if swept is None else swept.unionByName(done)
-        if not fresh.isEmpty():
-            tried = tried.unionByName(fresh)
-            links = links.unionByName(materialize(verified(docs, nodes, fresh), "links"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    member = materialize(members.join(sizes, "key"), "members")
+    weight = member.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = member.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    member = materialize(member.join(hubs, "key"), "members")
+    pairs = materialize(member.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "pairs")
+    copied = materialize(nodes.join(weight.select("node"), "node", "left_semi"), "copied")
+    bag = bags_of(docs, copied)
+    links = verified(pairs, copied, bag)
+    as_edges = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comp = components(as_edges(links))
+    named = member.where("size > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_hub = named.where("node = hub").select("key", F.col("comp").alias("hub_comp"))
+    aside = materialize(named.join(of_hub, "key").withColumn("aside", F.col("comp") != F.col("hub_comp")).select("key", "node", "size", "comp", "aside"), "aside")
+    mixed = aside.where("aside").groupBy("key").agg(F.count("*").alias("n_aside"))
+    part = lambda n: F.pmod(F.xxhash64("node"), n)
+    across, down = F.ceil(F.col("n_aside") / ACROSS), F.ceil(F.col("size") / DOWN)
+    inside = aside.join(mixed, "key").withColumn("across", across).withColumn("down", down)
+    payload = copied.select("node", "keys", "sig").join(bag, "node")
+    rows = inside.where("aside").select("key", "node", "comp", F.lit(0).alias("side"), part(F.col("across")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
+    cols = inside.select("key", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), part(F.col("down")).alias("y"))
+    blocks = rows.select("key", "x", "y", "node", "comp", "side").unionByName(cols.select("key", "x", "y", "node", "comp", "side")).join(payload, "node")
+    more = materialize(blocks.groupBy("key", "x", "y").applyInArrow(block, "a binary, b binary, similarity double"), "links")
+    if not more.isEmpty():
+        comp = components(as_edges(links.unionByName(more)))
     named = nodes.select("node", "first_id", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_class = named.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    node_class = named.join(by_class, "comp").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classes = signed.select("doc_id", "node").join(materialize(node_class, "classes"), "node", "left").select(
-        "doc_id", "node",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    node_class = materialize(named.join(by_class, "comp").select("node", "class_id", "class_size"), "classes")
+    return signed.select("doc_id", "node").join(node_class, "node", "left").select(
+        "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
     )
-    return classes, links
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """One row per document: its class (named by the least doc_id), the class's size, links between different texts."""
-    from rillflow.llm.common import table
-
-    classes, _ = near_duplicates(table(spark, sf_dir, "documents"))
-    return classes.select("doc_id", "class_id", "class_size", "n_links")
+    """One row per document: its class, named by the least doc_id in it, and the class's size."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
