@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from rillflow.llm import op03_bagminhash, op04_toxicity, op05_mixing, op06_quality, op07_crf, op08_ngram_trie, op09_shards, op10_linededup
+from rillflow.llm import op01_templates, op02_styletree, op03_bagminhash, op04_toxicity, op05_mixing, op06_quality, op07_crf, op08_ngram_trie, op09_shards, op10_linededup
 
 QUERIES = {
+    "op1_templates": op01_templates.query,
+    "op2_styletree": op02_styletree.query,
     "op3_bagminhash": op03_bagminhash.query,
     "op4_toxicity": op04_toxicity.query,
     "op5_mixing": op05_mixing.query,
