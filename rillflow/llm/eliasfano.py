@@ -11,7 +11,6 @@ import numpy as np
 
 U64 = np.uint64
 STEP = 32
-_ONE = U64(1)
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,7 +88,7 @@ class Sequence:
             return np.zeros(len(i), U64)
         bit = i.astype(U64) * U64(self.low)
         word, shift = (bit >> U64(6)).astype(np.int64), bit & U64(63)
-        carry = np.where(shift > 0, self.lows[word + 1] << (U64(64) - np.maximum(shift, _ONE)), U64(0))
+        carry = np.where(shift > 0, self.lows[word + 1] << (U64(64) - np.maximum(shift, U64(1))), U64(0))
         return ((self.lows[word] >> shift) | carry) & U64((1 << self.low) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -107,17 +106,20 @@ class Sequence:
         if not len(ask):
             return out
         h = high[ask].astype(np.int64)
-        bit = np.zeros(len(ask), np.int64)
-        some = np.flatnonzero(h > 0)
-        bit[some] = _select(self.high, self.zeros, h[some] - 1, False) + 1
         low = x[ask] & U64((1 << self.low) - 1)
-        at = bit - h
-        while len(ask):
-            more = ((self.high[bit >> 6] >> (bit & 63).astype(U64)) & _ONE).astype(bool)
-            ask, bit, low, at = ask[more], bit[more], low[more], at[more]
-            here = self._low(at)
-            hit = here == low
-            out[ask[hit]] = at[hit]
-            on = here < low
-            ask, bit, low, at = ask[on], bit[on] + 1, low[on], at[on] + 1
+        lo = np.zeros(len(ask), np.int64)
+        some = np.flatnonzero(h > 0)
+        lo[some] = _select(self.high, self.zeros, h[some] - 1, False) + 1 - h[some]
+        hi = _select(self.high, self.zeros, h, False) - h
+        end = hi.copy()
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):  # the first value of [lo, hi) that isn't less
+            mid = (lo[todo] + hi[todo]) >> 1
+            less = self._low(mid) < low[todo]
+            lo[todo] = np.where(less, mid + 1, lo[todo])
+            hi[todo] = np.where(less, hi[todo], mid)
+            todo = todo[lo[todo] < hi[todo]]
+        here = np.flatnonzero(lo < end)
+        hit = here[self._low(lo[here]) == low[here]]
+        out[ask[hit]] = lo[hit]
         return out
