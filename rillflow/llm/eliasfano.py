@@ -1,8 +1,9 @@
 """Elias-Fano coding of monotone sequences in numpy: build once, query many values at a time.
 
-A sequence of n values under u keeps the low l = log2(u / n) bits of each value packed and the high parts in unary, as
-a bit vector with a one for each value and a zero for each step of the high part: about 2 + l bits a value. Arrays are
-plain buffers, so they can lie in a memory-mapped file.
+A sequence of n values under u keeps the low l = log2(u / n) + 2 bits of each value packed and the high parts in unary, as
+a bit vector with a one for each value and a zero for each step of the high part: about l + 1.5 bits a value. The
+positions of the zeros are kept as a directory (8 bits a value), so a value is sought among the few of its high part without a
+scan; those of every STEP-th one serve get(). Arrays are plain buffers, so they can lie in a memory-mapped file.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-STEP = 32
+STEP = 8
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -26,10 +27,10 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([*out, np.zeros(2, U64)]).astype(U64)
 
 
-def _samples(words: np.ndarray, ones: bool) -> np.ndarray:
-    """The position of every STEP-th one (or zero)."""
+def _positions(words: np.ndarray, ones: bool) -> np.ndarray:
     bits = np.unpackbits(words.view(np.uint8), bitorder="little")
-    return np.flatnonzero(bits if ones else bits == 0)[::STEP].astype(np.int64)
+    found = np.flatnonzero(bits if ones else bits == 0)
+    return found.astype(np.uint32 if len(bits) < 2**32 else np.int64)
 
 
 def build(values: np.ndarray, name: str, ones: bool = False) -> dict[str, np.ndarray]:
@@ -37,32 +38,31 @@ def build(values: np.ndarray, name: str, ones: bool = False) -> dict[str, np.nda
     values = np.asarray(values, U64)
     n = len(values)
     last = int(values[-1]) if n else 0
-    low = max(0, (last // max(n, 1)).bit_length() - 1)
+    low = max(0, (last // max(n, 1)).bit_length() - 1 + 2)
     high = (values >> U64(low)).astype(np.int64)
     size = n + (last >> low) + 2
     bits = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view("<u8").astype(U64)
-    out = {f"{name}.meta": np.array([n, low, last >> low], np.int64), f"{name}.high": words, f"{name}.zeros": _samples(words, False)}
+    out = {f"{name}.meta": np.array([n, low, last >> low], np.int64), f"{name}.high": words, f"{name}.zeros": _positions(words, False)[: (last >> low) + 1]}
     out[f"{name}.low"] = _packed(values & U64((1 << low) - 1), low)
     if ones:
-        out[f"{name}.ones"] = _samples(words, True)
+        out[f"{name}.ones"] = _positions(words, True)[::STEP]
     return out
 
 
-def _select(words: np.ndarray, samples: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
-    """Positions of the ones (or zeros) numbered k."""
-    pos = samples[k // STEP]
+def _select(words: np.ndarray, samples: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Positions of the ones numbered k."""
+    pos = samples[k // STEP].astype(np.int64)
     rest = (k % STEP).astype(np.int64)
     word = pos >> 6
-    flip = U64(0) if ones else ~U64(0)
-    cur = (words[word] ^ flip) & (~U64(0) << (pos & 63).astype(U64))
+    cur = words[word] & (~U64(0) << (pos & 63).astype(U64))
     n = np.bitwise_count(cur).astype(np.int64)
     todo = np.flatnonzero(rest >= n)
     while len(todo):
         rest[todo] -= n[todo]
         word[todo] += 1
-        cur[todo] = words[word[todo]] ^ flip
+        cur[todo] = words[word[todo]]
         n[todo] = np.bitwise_count(cur[todo])
         todo = todo[rest[todo] >= n[todo]]
     at = word << 6
@@ -93,7 +93,7 @@ class Sequence:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        high = (_select(self.high, self.ones, i, True) - i).astype(U64)
+        high = (_select(self.high, self.ones, i) - i).astype(U64)
         return (high << U64(self.low)) | self._low(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -107,10 +107,8 @@ class Sequence:
             return out
         h = high[ask].astype(np.int64)
         low = x[ask] & U64((1 << self.low) - 1)
-        lo = np.zeros(len(ask), np.int64)
-        some = np.flatnonzero(h > 0)
-        lo[some] = _select(self.high, self.zeros, h[some] - 1, False) + 1 - h[some]
-        hi = _select(self.high, self.zeros, h, False) - h
+        hi = self.zeros[h].astype(np.int64) - h
+        lo = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)].astype(np.int64) + 1 - h, 0)
         end = hi.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):  # the first value of [lo, hi) that isn't less

@@ -44,11 +44,11 @@ ADD, DISCOUNT, MIN_COUNT = 0.1, 0.75, 2
 #: Bytes of text a shard stands for.
 SHARD_BYTES = 64 << 20
 #: Tokens a task counts before it passes them on.
-PENDING = 2_000_000
+PENDING = 1_500_000
 END = U64(0x6A09E667F3BCC909)
 #: Shares and weights are kept as x = round(-log10(value) / STEP), at most 255 (zero).
 STEP = 1 / 32
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 SHARDED = "shard int, key binary, n binary"
 
 
@@ -148,8 +148,11 @@ class Level:
 
     def each(self, shard: np.ndarray):
         """(number, positions, arrays, sequences) of every shard that is asked for."""
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(len(self.parts) + 1))
+        if len(shard) and (shard[1:] >= shard[:-1]).all():
+            order, edges = np.arange(len(shard)), np.searchsorted(shard, np.arange(len(self.parts) + 1))
+        else:
+            order = np.argsort(shard.astype(np.uint16) if len(self.parts) < 2**16 else shard, kind="stable")
+            edges = np.append(0, np.cumsum(np.bincount(shard, minlength=len(self.parts))))
         for k, p in enumerate(self.parts):
             if p and edges[k] < edges[k + 1]:
                 yield k, order[edges[k] : edges[k + 1]], p, self.sequences[k]
@@ -196,10 +199,10 @@ class Trie:
         return ids[back], count[back], shard[back]
 
     def pairs(self, a: np.ndarray, b: np.ndarray, shard: np.ndarray):
-        """Of the pairs of word numbers (a in the given shard; neither may be -1): position or -1, rank among a's
-        successors, share, back-off weight of the pair; and a's back-off weight."""
+        """Of the pairs of word numbers in order (a in the given shard; neither may be -1): position or -1, rank among a's
+        successors, share; and a's back-off weight."""
         one, two = self.levels[0], self.levels[1]
-        pos, rank, share, back = np.full(len(a), -1, np.int64), np.full(len(a), -1, np.int64), np.zeros(len(a)), np.ones(len(a))
+        pos, rank, share = np.full(len(a), -1, np.int64), np.full(len(a), -1, np.int64), np.zeros(len(a))
         weight = np.ones(len(a))
         for k, at, p, s in two.each(shard):
             own = a[at] - one.base[k]
@@ -208,7 +211,8 @@ class Trie:
             ok = np.flatnonzero(got >= 0)
             i = at[ok]
             pos[i] = got[ok] + two.base[k]
-            rank[i] = got[ok] - s["first"].get(own[ok]).astype(np.int64)
+            new = np.append(True, own[ok][1:] != own[ok][:-1])[: len(ok)]
+            rank[i] = got[ok] - s["first"].get(own[ok][new]).astype(np.int64)[np.cumsum(new) - 1]
             share[i] = VALUE[p["share"][got[ok]]]
         return pos, rank, share, weight
 
