@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = op03_bagminhash.near_duplicates(docs)
     first = materialize(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_first"), "survivors")
     held = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    return held.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
