@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "featuregram"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from rillflow.plans.catalog import FLAGSHIP, ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
