@@ -42,6 +42,7 @@ HORIZON = 7.0
 ACROSS, DOWN = 256, 512
 #: Share of signature components (8 bits of each) that must agree before a pair is verified.
 LIKELY = 0.62
+FILTER_BITS = 1 << 27
 
 
 def bags(col: pa.Array, width: int = WIDTH):
@@ -151,9 +152,9 @@ SHINGLED = pa.schema([("node", pa.binary()), ("bag", pa.binary())])
 
 
 def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sorted 32-bit fingerprints of (shingle, k-th occurrence)) of each text."""
-    for b in batches(it, column=0):
-        doc, h, count, nodes = bags(b.column(0))
+    """(node, sorted 32-bit fingerprints of (shingle, k-th occurrence)) of each text of batches (id hash, text)."""
+    for b in batches(it):
+        doc, h, count, nodes = bags(b.column(1))
         which = np.repeat(np.arange(len(h)), count)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         prints = (mix(h[which] ^ mix(nth.astype(U64))) >> U64(32)).astype(np.uint32)
@@ -191,10 +192,26 @@ def likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bags_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, bag) of the nodes; of the texts, only theirs are read."""
-    need = nodes.select(F.col("first_id").alias("need_id")).distinct()
-    texts = as_bytes(docs, "doc_id").join(need, F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi").select("text")
-    found = texts.mapInArrow(shingled, "node binary, bag binary").join(nodes.select("node"), "node", "left_semi")
+    """(node, bag) of the nodes. A bitmap of at most FILTER_BITS bits, made by bit_or per word, lets nearly only the texts of
+    nodes' first documents through, so that no text is shuffled; the join by node decides."""
+    spark = docs.sparkSession
+    bits = min(FILTER_BITS, 1 << max(12, (16 * nodes.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("first_id"), F.lit(bits))
+    words = nodes.select(F.shiftright(bit, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(first_id), {bits}L) % 32 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).collect()
+    bitmap = np.zeros(bits // 32, np.int64)
+    bitmap[[r.w for r in words]] = [r.b for r in words]
+    sent = spark.sparkContext.broadcast(bitmap)  # FILTER_BITS / 4 bytes at most
+
+    def run(it):
+        def some():
+            for b in it:
+                at = b.column(0).to_numpy()
+                yield b.filter(pa.array((sent.value[at >> 5] >> (at & 31)) & 1 == 1))
+
+        return shingled(some())
+
+    texts = as_bytes(docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit")), "bit")
+    found = texts.mapInArrow(run, "node binary, bag binary").join(nodes.select("node"), "node", "left_semi")
     return materialize(found.dropDuplicates(["node"]), "bags")
 
 
