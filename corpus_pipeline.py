@@ -20,10 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the least doc_id of each class of near duplicates (one, should several rows have it)."""
-    classes = op03_bagminhash.near_duplicates(docs)
-    first = materialize(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_first"), "survivors")
-    held = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return held.dropDuplicates(["doc_id", "text"])
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))  # stands for a null id
+    classes = op03_bagminhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = materialize(classes.groupBy(key.alias("_key")).agg(F.count("*").alias("_rows")), "survivors")
+    again = not first.where("_rows > 1").isEmpty()
+    # the same plan at every size: both sides are dealt by the id
+    held = docs.withColumn("_key", key).join(first.select("_key").hint("merge"), "_key", "left_semi")
+    return (held.dropDuplicates(["_key", "text"]) if again else held).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     per_doc = op05_mixing.mixed(docs)[0]
     copies = per_doc.where("taken > 0").groupBy("doc_id").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_n"), F.count("*").alias("_rows"))
     copies = materialize(copies.select(F.col("doc_id").alias("_id"), F.ceil(F.col("_n") / F.col("_rows")).cast("int").alias("_n")), "copies")
-    held = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    held = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
 
 
