@@ -117,6 +117,16 @@ def judged(docs: DataFrame, rules=TABLE, into: str = "quality") -> DataFrame:
     return m.withColumn(into, F.struct(*[q[k].alias(k) for k in COUNTS], failed.alias("base_failed"), (~failed & compiled(rules, q)).alias("kept")))
 
 
+def passing(docs: DataFrame, rules=TABLE) -> DataFrame:
+    """The rows of docs that are kept. The row number, which is never negative, keeps the optimizer from pushing the filter
+    into the projections below, where each count would be computed anew for every use."""
+    names = set(docs.columns)
+    q, k, r = (next(n for i in range(99) if (n := f"_{x}{i or ''}") not in names) for x in ("quality", "kept", "row"))
+    judgement = judged(docs, rules, q)
+    marked = judgement.select(*[f"`{c}`" for c in docs.columns], F.col(f"{q}.kept").alias(k), F.monotonically_increasing_id().alias(r))
+    return marked.where(F.col(k) & (F.col(r) >= 0)).select(*[f"`{c}`" for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     q = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return q.select("doc_id", *[F.col(f"quality.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
