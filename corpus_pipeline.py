@@ -15,7 +15,7 @@ from rillflow.llm.common import fresh_path, materialize, table, tuned
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows that pass the base rules and the threshold table."""
-    return op06_quality.judged(docs, into="_quality").where("_quality.kept").select(*docs.columns)
+    return op06_quality.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
