@@ -27,7 +27,7 @@ from rillflow.llm.common import U64, as_bytes, batches, buffer_of, crc_mod, mate
 
 #: A small English list of insults, known before any label.
 INSULTS = "idiot stupid moron dumb loser scum trash pathetic worthless disgusting".split()
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 LOG_ODDS, MIN_DOCS, LEXICON = 2.0, 5, 20_000
 SAMPLE = 20_000
 BROADCAST_ROWS = 2_000_000

@@ -49,7 +49,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buck
     bucket_of = lambda c: F.floor(c.cast("long") * buckets / CELLS).cast("int")
     per_bucket = counts.groupBy(bucket_of(F.col("cell")).alias("b")).agg(F.sum("n").alias("n"))
     before = per_bucket.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("first"))
-    scattered = docs.select(bucket_of(cell).alias("b"), F.struct(F.xxhash64(F.lit(seed + 1), draw).alias("o"), body.alias("r")).alias("x")).repartition(buckets, "b")
+    scattered = docs.select(bucket_of(cell).alias("b"), F.struct(F.xxhash64(F.lit(seed + 1), draw).alias("o"), body.alias("r")).alias("x")).repartitionById(buckets, F.col("b"))
     held = scattered.groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("xs")).join(F.broadcast(before), "b").sortWithinPartitions("b")
     dealt = held.select("first", F.posexplode(F.shuffle("xs", F.lit(seed))).alias("i", "x"))
     place = F.col("first") + F.col("i")
