@@ -3,6 +3,7 @@ long signals by chunks with a lead-in, and streams by batch with the state kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -235,6 +236,32 @@ def noise_shaper(bits: int = 16) -> Kernel:
     return kernel
 
 
+def asrc(target: int = 8, kp: float = 1 / 256, ki: float = 1 / 8192, lo: float = 31 / 32, hi: float = 33 / 32) -> Kernel:
+    """One sample in and one out per step through a queue: the read step is 1 - kp err - ki sum(err), clamped, with the sum held
+    while clamped; linear interpolation; an empty queue repeats the last output."""
+
+    def kernel(state, x):
+        queue, frac, total, last = state or ([0.0] * target, 0.0, 0.0, 0.0)
+        queue, out = list(queue), np.empty(len(x))
+        for i, v in enumerate(x.tolist()):
+            queue.append(v)
+            err = target - len(queue)
+            r = 1 - kp * err - ki * (total + err)
+            if lo < r < hi:
+                total += err
+            r = min(hi, max(lo, r))
+            if len(queue) >= 2:
+                last = queue[0] + frac * (queue[1] - queue[0])
+                frac += r
+                while frac >= 1 and len(queue) > 1:
+                    queue.pop(0)
+                    frac -= 1
+            out[i] = last
+        return (queue, frac, total, last), out
+
+    return kernel
+
+
 def time_stretch(frame: int, stretch: float) -> Kernel:
     """Overlap-add with a search for the best-correlated segment within half a frame; the first best wins."""
     hop, win = frame // 2, 0.5 * (1 - np.cos(2 * np.pi * np.arange(frame) / frame))
@@ -265,28 +292,36 @@ def time_stretch(frame: int, stretch: float) -> Kernel:
     return kernel
 
 
-def affine_scan(df: DataFrame, a: float, length: int = 4096) -> DataFrame:
-    """One-pole without Python: chunk summaries (their last value from a zero start) are scanned, then each chunk adds what its
-    start state decays to. y[n] = a sum (1-a)^(n-k) x[k], in log-safe form within a chunk."""
-    r = 1.0 - a
-    at = df.withColumn("c", F.expr(f"n div {length}")).withColumn("i", F.col("n") % length)
-    w = Window.partitionBy("signal_id", "c").orderBy("n")
-    zero = F.lit(a) * F.sum(F.col("x") * F.pow(F.lit(r), -F.col("i"))).over(w) * F.pow(F.lit(r), F.col("i"))
-    own = at.withColumn("z", zero)
-    ends = own.groupBy("signal_id", "c").agg(F.max_by("z", "i").alias("z"), (F.max("i") + 1).alias("m"))
-    # the state before a chunk: all chunks but the last are full
-    past = Window.partitionBy("signal_id").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    q = r**length
-    start = ends.withColumn("zs", F.collect_list("z").over(past)).withColumn("s", F.aggregate("zs", F.lit(0.0), lambda acc, z: acc * q + z)).select("signal_id", "c", "s")
-    return own.join(start, ["signal_id", "c"]).select("signal_id", "n", (F.col("z") + F.col("s") * F.pow(F.lit(r), F.col("i") + 1)).alias("y"))
+def geometric(df: DataFrame, keys: tuple[str, ...], index: str, value: str, r: float, out: str = "y") -> DataFrame:
+    """out[i] = sum over j <= i of r^(i-j) value[j], without Python and without a task per signal: chunks are summed from a zero
+    start, and each adds what its start state decays to. A chunk is so long that r^-length stays in range; where
+    r^length is under half an ulp the chunk before is all that counts, else the chunks' ends are folded."""
+    length = max(1, min(4096, int(400 / -math.log(abs(r))))) if 0 < abs(r) < 1 else 4096
+    at = df.withColumn("_c", F.expr(f"`{index}` div {length}")).withColumn("_i", F.col(index) % length)
+    w = Window.partitionBy(*keys, "_c").orderBy(index)
+    up, down = F.pow(F.lit(r), F.col("_i")), F.pow(F.lit(r), -F.col("_i"))
+    own = at.withColumn("_z", F.sum(F.col(value) * down).over(w) * up)
+    ends = own.groupBy(*keys, "_c").agg(F.max_by("_z", "_i").alias("_z"))
+    past, q = Window.partitionBy(*keys).orderBy("_c"), r**length
+    if abs(q) < 1e-17:
+        state = F.lag("_z", 1, 0.0).over(past)
+    else:
+        held = F.collect_list("_z").over(past.rowsBetween(Window.unboundedPreceding, -1))
+        state = F.aggregate(held, F.lit(0.0), lambda acc, z: acc * q + z)
+    start = ends.withColumn("_s", state).drop("_z")
+    return own.join(start, [*keys, "_c"]).withColumn(out, F.col("_z") + F.col("_s") * up * r).drop("_c", "_i", "_z", "_s")
+
+
+def affine_scan(df: DataFrame, a: float) -> DataFrame:
+    """One-pole y += a (x - y)."""
+    return geometric(df.withColumn("_v", F.col("x") * a), ("signal_id",), "n", "_v", 1.0 - a).drop("_v")
 
 
 def lanes(df: DataFrame, d: int, feedback: float, allpass_gain: float | None = None) -> DataFrame:
-    """Comb (or allpass) without Python: samples d apart are independent lanes, each a geometric sum over its past."""
-    w = Window.partitionBy("signal_id", F.col("n") % d).orderBy("n")
-    past = F.collect_list("x").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    """Comb (or allpass): samples d apart are independent lanes, each a geometric sum over its past."""
+    own = df.withColumn("_lane", F.col("n") % d).withColumn("_k", F.expr(f"n div {d}"))
     if allpass_gain is None:
-        y = F.aggregate(past, F.lit(0.0), lambda acc, v: acc * feedback + v)
-        return df.withColumn("y", y)
-    g = allpass_gain
-    return df.withColumn("_p", F.lag("x", 1, 0.0).over(w)).withColumn("_l", F.collect_list(F.struct("x", "_p")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("y", F.aggregate("_l", F.lit(0.0), lambda acc, v: acc * g + v["_p"] - v["x"] * g)).drop("_p", "_l")
+        return geometric(own, ("signal_id", "_lane"), "_k", "x", feedback).drop("_lane", "_k")
+    before = F.lag("x", 1, 0.0).over(Window.partitionBy("signal_id", "_lane").orderBy("_k"))
+    own = own.withColumn("_v", before - F.col("x") * allpass_gain)
+    return geometric(own, ("signal_id", "_lane"), "_k", "_v", allpass_gain).drop("_lane", "_k", "_v")

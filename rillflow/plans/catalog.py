@@ -254,7 +254,7 @@ def recurrence(name: str, kernel, sql: str | None, cols=("x",), out=("y",), prep
 
 _ONE = recursive({"y": "r.y + 0.1 * (s.x - r.y)"}, {"y": "0.1 * s.x"}, rs("y"))
 recurrence("one_pole", rc.one_pole(0.1), _ONE)
-query(_ONE, "one_pole_affine_scan")(lambda s, d: keyed(rc.affine_scan(user_signals(s, d), 0.1, 32), r6(F.col("y"))))
+query(_ONE, "one_pole_affine_scan")(lambda s, d: keyed(rc.affine_scan(user_signals(s, d), 0.1), r6(F.col("y"))))
 query(_ONE, "one_pole_chunked")(lambda s, d: keyed(rc.run_chunked(user_signals(s, d), rc.one_pole(0.1), 400, 380), r6(F.col("y"))))
 _BQ = recursive(
     {"y": "0.2 * s.x + r.z1", "z1": "0.3 * s.x + r.z2 + 0.5 * (0.2 * s.x + r.z1)", "z2": "0.1 * s.x - 0.2 * (0.2 * s.x + r.z1)"},
@@ -622,6 +622,66 @@ def market_ticks(s, d):
     return day.join(ends).select("day", r6((F.col("p") - F.col("p0")) / (F.col("p1") - F.col("p0")), "price"), r6(F.log1p("v"), "volume"), (F.round(F.col("high") - F.col("low"), 4) + 0.0).alias("volatility"), (F.col("p") >= F.coalesce(before, F.col("p"))).cast("int").alias("is_up"))
 
 
+@query(f"WITH {USER}, p AS (SELECT signal_id, n * 2 AS at, CASE WHEN n % 3 = 0 THEN 0.0 ELSE 1.0 END AS value FROM sig WHERE n % 5 = 1), k AS (SELECT signal_id, n, x, n // {N} AS block FROM sig) SELECT k.signal_id, k.n, {rs('x * coalesce((SELECT p.value FROM p WHERE p.signal_id = k.signal_id AND p.at <= k.block * 16 ORDER BY p.at DESC LIMIT 1), 1.0)')} FROM k")
+def mute_unmute(s, d):
+    """A slot that a control table sets to 0 or 1, read at block starts."""
+    df = user_signals(s, d)
+    p = df.where("n % 5 = 1").select("signal_id", (F.col("n") * 2).alias("at"), F.when(F.col("n") % 3 == 0, 0.0).otherwise(1.0).alias("value"))
+    at = df.withColumn("block", F.expr(f"n div {N}")).join(bl.scheduled(df, p, N), ["signal_id", "block"])
+    return keyed(at, r6(F.col("x") * F.col("value")))
+
+
+@query(f"WITH {FRAMES}, v AS (SELECT signal_id, hop, unnest(range(64)) AS k, unnest(s) AS v FROM fr) SELECT a.k AS i, b.k AS j, {rs('avg(a.v * b.v) - avg(a.v) * avg(b.v)', 'cov')} FROM v a JOIN v b ON a.signal_id = b.signal_id AND a.hop = b.hop AND a.k <= b.k WHERE a.k < 8 AND b.k < 8 GROUP BY 1, 2")
+def feature_covariance(s, d):
+    """Covariances of features, the one distributed step of a principal component analysis: each frame adds its products."""
+    x = F.slice("s", 1, 8)
+    both = embedding_frames(s, d).select(F.posexplode(x).alias("i", "a"), x.alias("x")).select("i", "a", F.posexplode("x").alias("j", "b")).where("i <= j")
+    cov = F.avg(F.col("a") * F.col("b")) - F.avg("a") * F.avg("b")
+    return both.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(r6(cov, "cov"))
+
+
+@query()
+def feature_pca(s, d):
+    """The three leading components of the frames' first features, scaled between their 2nd and 98th percentile."""
+    import numpy as np
+
+    frames = embedding_frames(s, d).select("signal_id", "hop", F.slice("s", 1, 8).alias("x"))
+    stats = frames.select(*[F.col("x")[k].alias(f"x{k}") for k in range(8)])
+    row = stats.agg(*[F.avg(f"x{k}").alias(f"m{k}") for k in range(8)], *[F.stddev_pop(f"x{k}").alias(f"s{k}") for k in range(8)], *[F.corr(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(8) for j in range(i + 1, 8)]).first()
+    m = np.eye(8)
+    for i in range(8):
+        for j in range(i + 1, 8):
+            m[i, j] = m[j, i] = row[f"c{i}_{j}"]
+    vectors = np.linalg.eigh(m)[1][:, ::-1][:, :3]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(3)])
+    z = [(F.col("x")[k] - row[f"m{k}"]) / row[f"s{k}"] for k in range(8)]
+    parts = frames.select("signal_id", "hop", *[c.alias(f"pc{k}") for k, c in enumerate(sp.mix_matrix(vectors.T.tolist(), z))])
+    ends = parts.agg(*[F.percentile(f"pc{k}", F.lit(q)).alias(f"q{k}_{q}") for k in range(3) for q in (0.02, 0.98)]).first()
+    scaled = lambda k: el.clamp((F.col(f"pc{k}") - ends[f"q{k}_0.02"]) / (ends[f"q{k}_0.98"] - ends[f"q{k}_0.02"]), 0.0, 1.0)
+    return parts.select("signal_id", "hop", *[r6(scaled(k), f"pc{k}") for k in range(3)])
+
+
+@query()
+def dither_tpdf(s, d):
+    """16-bit codes with triangular dither of one step."""
+    return keyed(user_signals(s, d), el.pcm_encode(F.col("x") * 0.9, "s16", el.tpdf(5)).alias("y"))
+
+
+@query()
+def deep_space(s, d):
+    """Magnitudes on bins, phases that advance with the hop, and overlap-add: the frames' shape as sound."""
+    frames = powers(s, d).select("signal_id", "hop", F.slice("p", 1, 33).alias("p"))
+    turn = lambda k: 2 * math.pi * k * F.col("hop") / 4
+    made = frames.select("signal_id", "hop", F.transform("p", lambda v, k: v * F.cos(turn(k))).alias("re"), F.transform("p", lambda v, k: v * F.sin(turn(k))).alias("im"))
+    return keyed(rw.istft(made, FR, HOP), r6(F.col("y")))
+
+
+@query()
+def asynchronous_resampler(s, d):
+    """A reader whose rate follows the fill of its queue (a proportional-integral controller), over a recorded schedule."""
+    return keyed(rc.run(user_signals(s, d), rc.asrc(), ("x",)), r6(F.col("y")))
+
+
 _F = f"WITH {SPEC}, q AS (SELECT signal_id, hop, k, re * re + im * im AS p FROM sp), f AS (SELECT signal_id, hop, sqrt(avg(p)) AS rms, sum(k * p) / sum(p) AS centroid, CAST(arg_min(k, (-p, k)) AS INT) AS dominant, sum(p) AS t FROM q GROUP BY 1, 2), x AS (SELECT a.signal_id, a.hop, sqrt(sum(pow(greatest(0, a.p - coalesce(b.p, 0)), 2))) AS flux FROM q a LEFT JOIN q b ON b.signal_id = a.signal_id AND b.hop = a.hop - 1 AND b.k = a.k GROUP BY 1, 2), c AS (SELECT signal_id, hop, CAST(min(k) AS INT) AS rolloff FROM (SELECT signal_id, hop, k, sum(p) OVER (PARTITION BY signal_id, hop ORDER BY k) AS run, t FROM q JOIN f USING (signal_id, hop)) WHERE run >= 0.85 * t GROUP BY 1, 2)"
 
 

@@ -173,3 +173,41 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["signal_id", "hop", "rms", "centroid", "rolloff", "flux", "dominant"]
+
+
+@pytest.mark.parametrize("a", [0.1, 0.001, 0.9])
+def test_affine_scan_over_chunks(spark, a):
+    df = signal(spark, np.random.default_rng(2).normal(size=9000))
+    assert np.allclose(column(recurrent.affine_scan(df, a)), column(recurrent.run(df, recurrent.one_pole(a))), atol=1e-9)
+
+
+def test_lanes_over_chunks(spark):
+    df = signal(spark, np.random.default_rng(3).normal(size=6000))
+    assert np.allclose(column(recurrent.lanes(df, 3, 0.7)), column(recurrent.run(df, recurrent.comb(3, 0.7))), atol=1e-9)
+    assert np.allclose(column(recurrent.lanes(df, 3, 0.0, 0.6)), column(recurrent.run(df, recurrent.allpass(3, 0.6))), atol=1e-9)
+
+
+def test_noise_shaper_keeps_the_error_small():
+    x = np.sin(np.arange(2000) * 0.01) * 0.5
+    _, codes = recurrent.noise_shaper(8)(None, x)
+    e = codes / 128 - x
+    assert np.abs(e).max() < 1.5 / 128 and abs(e.mean()) < 1e-4
+    saturated = recurrent.biquad_fixed(32767, 0, 0, 0, 0)(None, np.array([32767, -32768]))[1]
+    assert saturated.tolist() == [32767, -32768]
+
+
+def test_asrc_holds_and_follows():
+    x = np.sin(np.arange(3000) * 0.02)
+    (queue, *_), y = recurrent.asrc()(None, x)
+    assert 2 <= len(queue) <= 16 and np.abs(y[500:]).max() <= 1.0
+
+
+def test_split_render_equals_whole():
+    x = np.random.default_rng(4).normal(size=300)
+    for kernel in (recurrent.one_pole(0.2), recurrent.biquad(0.2, 0.3, 0.1, -0.5, 0.2), recurrent.state_variable(0.1, 0.8), recurrent.ladder(0.3, 0.5), recurrent.comb(7, 0.6), recurrent.allpass(7, 0.5), recurrent.karplus_strong(5), recurrent.envelope(0.3, 0.05), recurrent.noise_shaper(), recurrent.asrc(), recurrent.flanger(20, 8.0, 4.0, 0.013, 0.4, 0.5)):
+        _, whole = kernel(None, x)
+        state, parts = None, []
+        for at in range(0, 300, 37):
+            state, y = kernel(state, x[at : at + 37])
+            parts.append(y)
+        assert np.allclose(np.concatenate(parts), whole, atol=1e-12)
