@@ -26,7 +26,7 @@ from rillflow.llm.common import materialize, table
 
 WEIGHTS, CAP, BLOCK, SEED = (5, 2, 1), 3, 4096, 20240607
 PHI = 0.6180339887498949
-ROWS, CHUNK = 4096, 1 << 16
+ROWS, CHUNK = 1024, 1 << 16
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
