@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -179,6 +181,13 @@ def batches(it: Iterator, rows: int = BATCH_ROWS, column: int = 1, size: int = 1
             at += min(n, part.num_rows)
 
 
+def trim() -> None:
+    """Give memory that large arrays have left back to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of the id written as text, modulo mod (null ids: of the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod

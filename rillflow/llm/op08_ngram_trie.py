@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import eliasfano as ef
-from rillflow.llm.common import U64, as_bytes, batches, buffer_of, crc_mod, fresh_path, span_hashes, table, tuned, word_spans
+from rillflow.llm.common import U64, as_bytes, batches, buffer_of, crc_mod, fresh_path, span_hashes, table, trim, tuned, word_spans
 
 ADD, DISCOUNT, MIN_COUNT = 0.1, 0.75, 2
 #: Bytes of text a shard stands for.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Tokens a task counts before it passes them on.
 PENDING = 1_500_000
 END = U64(0x6A09E667F3BCC909)
@@ -77,7 +77,7 @@ def counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[at], np.add.reduceat(n, at) if len(at) else np.empty(0, np.int64)
+    return keys[at], np.add.reduceat(n, at, dtype=np.int64) if len(at) else np.empty(0, np.int64)
 
 
 def dealt(it: Iterator[pa.RecordBatch], grams, shard_of, text: int = 0) -> Iterator[pa.RecordBatch]:
@@ -98,15 +98,17 @@ def dealt(it: Iterator[pa.RecordBatch], grams, shard_of, text: int = 0) -> Itera
         if sum(map(len, pending)) >= PENDING:
             yield passed()
             pending = []
+            trim()
     if pending:
         yield passed()
 
 
 def gathered(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """(shard, distinct keys in order, their numbers) of all rows of a shard."""
+    trim()
     shard = t.column("shard")[0].as_py()
-    keys = np.frombuffer(b"".join(t.column("key").to_pylist()), U64)
-    n = np.frombuffer(b"".join(t.column("n").to_pylist()), np.uint32).astype(np.int64)
-    return shard, *counted(keys, n)
+    whole = lambda k, kind: np.concatenate([buffer_of(c)[0].view(kind) for c in t.column(k).chunks])
+    return shard, *counted(whole("key", U64), whole("n", np.uint32))
 
 
 def coded(shard: int, arrays: dict[str, np.ndarray], n: int, total: int) -> pa.Table:
@@ -388,6 +390,8 @@ def score(docs: DataFrame, metas: list[dict]) -> DataFrame:
             n, known, base, full = score_column(trie, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), trie.N), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+        trim()
+
     return docs.mapInArrow(run, SCORED)
 
 
