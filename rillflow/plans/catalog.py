@@ -199,10 +199,10 @@ def block_power(s, d):
     return keyed(bl.block_power(user_signals(s, d), N), r6(F.col("power")), keys=("signal_id", "block"))
 
 
-@query(f"WITH {USER}, g AS (SELECT DISTINCT signal_id, n // {N} AS block, 0.53 + 0.217 * (n // {N} % 3) AS g FROM sig) {RAMP}")
+@query(f"WITH {USER}, g AS (SELECT DISTINCT signal_id, n // {N} AS block, 0.5312947 + 0.2171357 * (n // {N} % 3) AS g FROM sig) {RAMP}")
 def vca(s, d):
     df = user_signals(s, d)
-    g = df.select("signal_id", F.expr(f"n div {N}").alias("block")).distinct().withColumn("g", 0.53 + 0.217 * (F.col("block") % 3))
+    g = df.select("signal_id", F.expr(f"n div {N}").alias("block")).distinct().withColumn("g", 0.5312947 + 0.2171357 * (F.col("block") % 3))
     return keyed(bl.ramped(df, g, N), r6(F.col("y")))
 
 
