@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 1. Lexicons: over all labelled training rows, the documents of either class that hold a word or a prefix of one; what
-   is LOG_ODDS likelier in toxic ones, in MIN_DOCS of them or more, is in the lexicon of its kind. Counted by key, so no row is passed over.
+   is LOG_ODDS likelier in toxic ones, in MIN_DOCS of them or more, is in the lexicon of its kind. Counted by key, so no row is passed over, and a lexicon
+   has as many entries as pass. Up to BROADCAST_ENTRIES go to every task; beyond, the features of the documents are shuffle-joined with them.
 2. Voters: lexicon and pattern voters say toxic, clean or nothing on every document; a gold label of a training row
    is one more voter. Votes are grouped by pattern, at most 3 ** voters groups whatever the input.
 3. A generative label model, fitted by EM on the pattern counts, estimates how often each voter says what in either
@@ -28,9 +29,9 @@ from rillflow.llm.common import U64, as_bytes, batches, buffer_of, crc_mod, mate
 #: A small English list of insults, known before any label.
 INSULTS = "idiot stupid moron dumb loser scum trash pathetic worthless disgusting".split()
 PREFIXES = (4, 5, 6, 7, 8)
-LOG_ODDS, MIN_DOCS, LEXICON = 2.0, 5, 20_000
+LOG_ODDS, MIN_DOCS = 2.0, 5
 SAMPLE = 20_000
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, BROADCAST_ENTRIES = 2_000_000, 500_000
 THRESHOLD = 0.3
 _INK = np.zeros(256, bool)
 _INK[48:58] = _INK[65:91] = _INK[97:123] = _INK[128:] = True
@@ -81,15 +82,21 @@ def class_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicons(labelled: DataFrame) -> dict:
-    """Sorted keys and log odds per kind, from rows (toxic, text as bytes)."""
+    """Sorted keys and log odds per kind, from rows (toxic, text as bytes); of a large lexicon its table of entries instead."""
     n1, n0 = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
     by = labelled.select("toxic", "text").mapInArrow(class_counts, COUNTED).groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = by.where(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS).orderBy(F.desc("odds"), "kind", "key").limit(LEXICON).collect()
-    out = {}
-    for kind in range(len(PREFIXES) + 1):
-        own = sorted((int(np.int64(r.key).view(np.uint64)), r.odds) for r in rows if r.kind == kind)
-        out[kind] = (np.array([k for k, _ in own], U64), np.array([o for _, o in own]))
+    entries = materialize(by.where(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS).select("kind", "key", "odds"), "lexicon")
+    out = {kind: (np.empty(0, U64), np.empty(0)) for kind in range(len(PREFIXES) + 1)}
+    if entries.count() > BROADCAST_ENTRIES:
+        out["entries"] = entries
+    else:
+        t = entries.toArrow()
+        kinds, keys, found = (t.column(k).to_numpy() for k in ("kind", "key", "odds"))
+        for kind in out:
+            own = keys[kinds == kind].view(U64)
+            order = np.argsort(own)
+            out[kind] = (own[order], found[kinds == kind][order])
     words = [w.encode() for w in INSULTS]
     ends = np.cumsum([len(w) for w in words])
     seed = span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
@@ -126,6 +133,42 @@ def count_table(col: pa.Array, lex: dict) -> np.ndarray:
     return out
 
 
+FOUND = "found array<struct<kind: int, key: long, n: long>>"
+
+
+def found_features(col: pa.Array) -> pa.Array:
+    """Of each text: its words and prefixes, and how often each is in it."""
+    docs, kinds, keys, n = [], [], [], []
+    for kind, key, doc in features(col):
+        order = np.lexsort((key, doc))
+        key, doc = key[order], doc[order]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.empty(0, np.int64)
+        docs.append(doc[at]), kinds.append(np.full(len(at), kind, np.int32)), keys.append(key[at].view(np.int64)), n.append(np.diff(np.append(at, len(key))))
+    doc = np.concatenate(docs)
+    order = np.argsort(doc, kind="stable")
+    each = pa.StructArray.from_arrays([pa.array(np.concatenate(x)[order]) for x in (kinds, keys, n)], names=["kind", "key", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order], np.arange(len(col) + 1)), pa.int32()), each)
+
+
+def joined_counts(text: DataFrame, lex: dict) -> DataFrame:
+    """COUNTS of the rows (doc_id, held_out, text), by a shuffle join of their features with the entries of a lexicon of any size."""
+    lex, entries = {k: v for k, v in lex.items() if k != "entries"}, lex["entries"]
+
+    def run(it):
+        for b in batches(it, 100_000, 2, 8_000_000):
+            own = count_table(b.column(2), lex)  # what needs no entries
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(own[:, k]) for k in range(len(COUNTS))), found_features(b.column(2))], names=["doc_id", "held_out", *COUNTS, "found"])
+
+    rows = text.mapInArrow(run, "doc_id long, held_out boolean, " + ", ".join(f"{k} double" for k in COUNTS) + ", " + FOUND)
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "features")
+    hits = rows.select("_row", F.explode("found").alias("f")).select("_row", "f.*").join(entries, ["kind", "key"])
+    times = lambda x: F.sum(F.when(x, F.col("n")).otherwise(0)).cast("double")
+    of = {"words": times(F.col("kind") == 0), "strong": times((F.col("kind") == 0) & (F.col("odds") >= 2 * LOG_ODDS)), "best": F.max("odds")}
+    of |= {f"prefix{n}": times(F.col("kind") == kind) for kind, n in enumerate(PREFIXES, 1)}
+    by = hits.groupBy("_row").agg(*[v.alias(f"_{k}") for k, v in of.items()])
+    return rows.drop("found").join(by, "_row", "left").select("doc_id", "held_out", *[F.coalesce(F.col(f"_{k}"), F.lit(0.0)).alias(k) if k in of else F.col(k) for k in COUNTS])
+
+
 VOTERS = ("words", "strong", "seed", "dense", *(f"prefix{n}" for n in PREFIXES), "shouting", "marks", "nothing")
 
 
@@ -208,7 +251,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[DataFra
             found = count_table(b.column(2), lex)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(found[:, k]) for k in range(len(COUNTS)))], names=["doc_id", "held_out", *COUNTS])
 
-    counts = materialize(as_bytes(named, "doc_id", "held_out").mapInArrow(run, "doc_id long, held_out boolean, " + ", ".join(f"{k} double" for k in COUNTS)), "counts")
+    text = as_bytes(named, "doc_id", "held_out")
+    counts = joined_counts(text, lex) if "entries" in lex else text.mapInArrow(run, "doc_id long, held_out boolean, " + ", ".join(f"{k} double" for k in COUNTS))
+    counts = materialize(counts, "counts")
     c = {k: F.col(k) for k in COUNTS}
     known = counts.join(gold, counts["doc_id"] == gold["label_id"], "left").where(~F.col("held_out"))
     vote = F.array(*votes(c), F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, 1).otherwise(0))

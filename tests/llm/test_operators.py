@@ -150,6 +150,23 @@ def test_toxicity(spark, odd, empty):
     assert op4.toxicity(empty, lab, crc_mod("doc_id", 4) != 2)[0].count() == 0
 
 
+def test_toxicity_lexicon_has_no_cap(spark, monkeypatch):
+    # 4,000 words of nine letters, each in five toxic documents; those that a clean one has as well have odds under 2
+    size = (4000 - sum(i % 3 > 0 for i in range(50, 150))) * (1 + len(op4.PREFIXES))
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in (0, 1, 2)) + "qwzxyv"
+    rows = [(i, " ".join(name(k) for k in range(i // 5 * 400, i // 5 * 400 + 400)), "en", "a") for i in range(50)]
+    rows += [(i, prose(i, 40) + f" {name(i)}" * (i % 3), "en", "a") for i in range(50, 150)] + [(7, "moron!", "en", "a"), (None, None, None, None)]
+    lab = spark.createDataFrame([(i, 1, int(i < 50)) for i in range(150)], "doc_id long, quality int, toxic int")
+    docs, train = table(spark, rows), F.lit(True)
+    few, learned = op4.toxicity(docs, lab, train)
+    assert sum(len(learned["lexicon"][k][0]) for k in range(len(op4.PREFIXES) + 1)) == size > 20_000
+    monkeypatch.setattr(op4, "BROADCAST_ENTRIES", 10)
+    joined, learned = op4.toxicity(docs, lab, train)
+    assert learned["lexicon"]["entries"].count() == size
+    order = lambda d: sorted(d.collect(), key=str)
+    assert len(order(few)) == len(rows) and order(few) == order(joined)
+
+
 def test_mixing(spark, odd, empty):
     rows = [(i, prose(i, 5 + i % 50), "en", f"s{i % 7}" if i % 11 else None) for i in range(500)]
     out = op5.mixed(table(spark, rows), block=64)[0].collect()
