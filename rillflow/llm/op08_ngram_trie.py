@@ -4,18 +4,18 @@ Tokens: words (runs of anything but ASCII white space, A-Z lower-cased) and one
 
 1. words: the rising 64-bit word hashes in Elias-Fano form; exact counts (a byte each, large ones apart); a quantised back-off
    weight; monotone pointers to their successors;
-2. pairs seen MIN_COUNT times or more: (word, successor's number) as one rising sequence; pointers to their children; the
+2. pairs (seen least times or more, if train() is asked to prune; the query keeps all): (word, successor's number) as one rising sequence; pointers to their children; the
    discounted share a = (count - D) / context count and the back-off weight, a byte each in logarithmic steps;
-3. triples seen MIN_COUNT times or more: the third word is numbered by its rank among the successors of the second
+3. triples (pruned alike): the third word is numbered by its rank among the successors of the second
    (context-relative), so the sequence stays dense; a quantised share.
 
-p1 = (c + 0.1) / (N + 0.1 (V + 1)), p(w | h) = a(h w) + backoff(h) p(w | shorter h); what pruning takes goes to the back-off weight, so
+p1 = (c + 0.1) / (N + 0.1 (V + 1)), p(w | h) = a(h w) + backoff(h) p(w | shorter h); what discounting (and pruning) takes goes to the back-off weight, so
 probabilities add up to one but for the steps of quantisation.
 
 Each level is counted by one pass over the training texts: tasks count what they read and deal it by hash range (words)
 or pair position (triples) to shards, whose number follows the corpus; a shard is merged, pruned and coded in one
 task of bounded size. The driver only strings the coded shards together, in one file of the shared folder, which Spark
-hands to every executor and which is memory-mapped there. Pruning is a fixed count, not a cap.
+hands to every executor and which is memory-mapped there. Pruning, where asked for, is by a fixed count, not a cap; the registered query prunes nothing.
 
 Null texts are empty: only an end. Rows are scored each by its own; rows that repeat train each. With no training
 row N = V = 0 and every word has probability 1.
@@ -240,12 +240,12 @@ def neighbours(lengths: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~first)
 
 
-def pair_keys(trie: Trie, col: pa.Array) -> np.ndarray:
-    """Word numbers a << 32 | b of the pairs whose words are both seen MIN_COUNT times."""
+def pair_keys(trie: Trie, col: pa.Array, least: int) -> np.ndarray:
+    """Word numbers a << 32 | b of the pairs whose words are both seen least times."""
     h, lengths = tokens(col)
     ids, count, _ = trie.words(h)
     i = neighbours(lengths)
-    i = i[(count[i] >= MIN_COUNT) & (count[i - 1] >= MIN_COUNT)]
+    i = i[(count[i] >= least) & (count[i - 1] >= least)]
     return (ids[i - 1].astype(U64) << U64(32)) | ids[i].astype(U64)
 
 
@@ -291,10 +291,10 @@ def word_counts(level: Level, shard: int) -> np.ndarray:
     return n
 
 
-def merge_pairs(t: pa.Table, metas: list[dict]) -> pa.Table:
+def merge_pairs(t: pa.Table, metas: list[dict], least: int) -> pa.Table:
     trie = Trie(metas)
     shard, keys, n = gathered(t)
-    keep = n >= MIN_COUNT
+    keep = n >= least
     keys, n = keys[keep], n[keep]
     base = int(trie.levels[0].base[shard])
     a, b = (keys >> U64(32)).astype(np.int64) - base, keys & U64(0xFFFFFFFF)
@@ -308,11 +308,11 @@ def merge_pairs(t: pa.Table, metas: list[dict]) -> pa.Table:
     return coded(shard, arrays, len(keys), int(children.max(initial=0)))
 
 
-def merge_triples(t: pa.Table, metas: list[dict]) -> pa.Table:
+def merge_triples(t: pa.Table, metas: list[dict], least: int) -> pa.Table:
     trie = Trie(metas)
     shard, keys, n = gathered(t)
     wide, base = metas[1]["wide"], int(trie.levels[1].base[shard])
-    keep = n >= MIN_COUNT
+    keep = n >= least
     keys, n = keys[keep] - U64(base * wide), n[keep]
     a = (keys // U64(wide)).astype(np.int64)
     context = word_counts(trie.levels[1], shard)
@@ -341,8 +341,9 @@ def stored(built: DataFrame, shards: int, name: str) -> dict:
     return {"name": target.getName(), "shards": parts, "total": sum(p["total"] for p in parts), "bits": bits_of(shards)}
 
 
-def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[dict]:
-    """The trie of the texts (one binary column): a description of each level, small enough to go with every task."""
+def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, least: int = MIN_COUNT) -> list[dict]:
+    """The trie of the texts (one binary column), of pairs and triples seen least times or more: a description of each level,
+    small enough to go with every task."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = bits_of(max(1, math.ceil(size / shard_bytes)))
     shards = 1 << bits
@@ -353,10 +354,10 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[dict]:
 
     one = level(lambda c: tokens(c)[0], lambda k: by_range(k, bits), merge_words, "1")
     own = lambda k: np.searchsorted(opened(one).base, (k >> U64(32)).astype(np.int64), "right") - 1
-    two = level(lambda c: pair_keys(Trie([one]), c), own, lambda t: merge_pairs(t, [one]), "2")
+    two = level(lambda c: pair_keys(Trie([one]), c, least), own, lambda t: merge_pairs(t, [one], least), "2")
     two["wide"] = max(1, max(p["total"] for p in two["shards"]))
     own3 = lambda k: np.searchsorted(opened(two).base, (k // U64(two["wide"])).astype(np.int64), "right") - 1
-    three = level(lambda c: triple_keys(Trie([one, two]), c), own3, lambda t: merge_triples(t, [one, two]), "3")
+    three = level(lambda c: triple_keys(Trie([one, two]), c), own3, lambda t: merge_triples(t, [one, two], least), "3")
     return [one, two, three]
 
 
@@ -398,4 +399,4 @@ def score(docs: DataFrame, metas: list[dict]) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     text = as_bytes(docs.withColumn("held_out", crc_mod("doc_id", 10) == 0), "doc_id", "held_out")
-    return score(text, train(text.where(~F.col("held_out")).select("text")))
+    return score(text, train(text.where(~F.col("held_out")).select("text"), least=1))

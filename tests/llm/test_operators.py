@@ -322,6 +322,42 @@ def test_ngram_trie(spark, odd, empty):
     assert op8.score(text(odd), op8.train(none.select("text"))).count() == odd.count()
 
 
+def exact_lm(rows):
+    """Scores of the texts with all pairs and triples of the training rows."""
+    tok = lambda t: [*(t or "").encode().lower().split(), b"\0end"]
+    grams = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            k = tok(t)
+            grams.update(tuple(k[j : j + n]) for n in (1, 2, 3) for j in range(len(k) - n + 1))
+    v = [g for g in grams if len(g) == 1]
+    size = sum(grams[g] for g in v)
+    def p(g):
+        if len(g) == 1:
+            return (grams[g] + 0.1) / (size + 0.1 * (len(v) + 1))
+        if not grams[g[:-1]]:
+            return p(g[1:])
+        after = [x for q, x in grams.items() if len(q) == len(g) and q[:-1] == g[:-1]]
+        return max(0.0, grams[g] - 0.75) / grams[g[:-1]] + (1 - sum(x - 0.75 for x in after) / grams[g[:-1]]) * p(g[1:])
+
+    return {t: sum(math.log10(p(tuple(k[max(0, j - 2) : j + 1]))) for k in [tok(t)] for j in range(len(k))) for _, t in rows}
+
+
+def test_ngram_trie_query_keeps_what_is_seen_once(spark, tmp_path):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    kept = [i for i in range(200) if i not in held]
+    rows = [(i, f"{prose(i, 20)} left{i} middle{i} right{i} {prose(-i - 1, 5)}") for i in kept[:25]]
+    # words and pairs of the first are all seen once; the second has the same words in another order
+    rows += [(held[0], f"left{kept[0]} middle{kept[0]} right{kept[0]}"), (held[1], f"right{kept[0]} left{kept[0]} middle{kept[1]}"), (held[2], rows[0][1])]
+    table(spark, [(*r, "en", "a") for r in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8.query(spark, str(tmp_path)).collect()}
+    want = exact_lm(rows)
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert abs(got[i].score - want[t]) <= 0.04 * got[i].n_tokens
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
 def test_shards(spark, odd, empty):
     docs = table(spark, [(i, prose(i, i % 60), "en", "a") for i in range(500)]).unionByName(odd).withColumn("b", F.lit(1)).withColumn("shard", F.lit(9))
     out = op9.shuffle_shards(docs, bucket_bytes=20_000)
