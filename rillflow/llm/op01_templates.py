@@ -2,12 +2,16 @@
 
 A text is canonicalised to tokens: words without outer punctuation, A-Z lower-cased, in which numbers (words that begin with a
 digit, number words), units after a number, and names (capitalised words inside a sentence, unless all in capitals) are typed
-placeholders that remember their value. Windows of WIDTH tokens (a shorter item is one window) with LITERALS or more
-words that aren't placeholders are hash-joined between documents and items. Windows of one item that lie on one diagonal
+placeholders that remember their value. Windows of WIDTH tokens with LITERALS or more words that aren't placeholders are
+hash-joined between documents and items; an item of fewer tokens is one window, and documents have windows of its width as well. Windows of one item that lie on one diagonal
 (position in the document minus position in the item) are one alignment; its slots must be consistent: each value of
 the item stands for one value of the document and the other way round. A document is contaminated by an item if
 consistent alignments cover COVERAGE of the item's windows, and LEAST of them (or all, if it has fewer).
 
+Beside its template, each window has a hash of its tokens as they are, whatever their number of literals and wherever a sentence begins. A
+document that templates don't show to be contaminated is so if windows found as they are cover as much of all windows of the
+item: verbatim copies of items of numbers and names, or of a single word, are found by them alone.
+
 Windows of documents that can't match are dropped early by a bitmap of the items' hashes (up to FILTER of them; beyond, all
 windows go to the join). No document is cut, no window count capped. Null and empty texts have no windows. Rows that
 repeat a doc_id are taken together; items with equal texts are all reported. The result has only contaminated documents.
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import U64, as_bytes, batches, buffer_of, flat_windows, materialize, span_hashes, table, tuned, word_spans
+from rillflow.llm.common import U64, as_bytes, batches, buffer_of, flat_windows, materialize, mix, span_hashes, table, tuned, word_spans
 
 WIDTH, LITERALS = 5, 3
 COVERAGE, LEAST = 0.3, 4
@@ -34,7 +38,7 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "degree degrees percent dollar dollars cent cents euro euros meter meters metre metres kilometer kilometers kilometre kilometres mph kph"
 ).split()
-NUM, UNIT, NAME = (U64(k * 0x9E3779B97F4A7C15 % 2**64) for k in (3, 5, 7))
+NUM, UNIT, NAME, EXACT = (U64(k * 0x9E3779B97F4A7C15 % 2**64) for k in (3, 5, 7, 11))
 _INK = np.zeros(256, bool)
 _INK[48:58] = _INK[65:91] = _INK[97:123] = _INK[128:] = True
 _UPPER = np.zeros(256, bool)
@@ -83,33 +87,40 @@ def canonical(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, value, lengths
 
 
-def template_windows(col: pa.Array):
-    """(hash, text index, position, codes, values, tokens per text) of all windows with enough literals."""
+def item_windows(col: pa.Array, widths: list[int] | None = None) -> Iterator[tuple]:
+    """(exact, hash, text index, position, start, end, is a placeholder, values) of all windows by exact values and of those
+    with enough literals by template: of WIDTH tokens or a shorter text's own, or of each of the widths given."""
     code, value, lengths = canonical(col)
-    h, doc, pos = flat_windows(code, lengths, WIDTH)
     slot = (code == NUM) | (code == UNIT) | (code == NAME)
     literal = np.append(0, np.cumsum(~slot))
-    at = (np.cumsum(lengths) - lengths)[doc] + pos
-    ends = at + np.minimum(lengths[doc], WIDTH)
-    need = np.minimum(lengths[doc], LITERALS)
-    ok = literal[ends] - literal[at] >= need
-    return h[ok], doc[ok], pos[ok], at[ok], ends[ok], slot, value
+    for width in widths or [WIDTH]:
+        for exact in (False, True):
+            h, doc, pos = flat_windows(value if exact else code, lengths, width)
+            at = (np.cumsum(lengths) - lengths)[doc] + pos
+            ends = at + np.minimum(lengths[doc], width)
+            ok = literal[ends] - literal[at] >= np.minimum(ends - at, LITERALS)
+            if exact:
+                h, ok = mix(h ^ EXACT), np.ones(len(h), bool)
+            if widths:
+                ok &= lengths[doc] >= width
+            yield exact, h[ok], doc[ok], pos[ok], at[ok], ends[ok], slot, value
 
 
-WINDOW = "id long, hash long, pos long, slots array<long>"
+WINDOW = "id long, exact boolean, hash long, pos long, width int, slots array<long>"
 
 
-def windows(it: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def windows(it: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None, widths: list[int] | None = None) -> Iterator[pa.RecordBatch]:
     """Windows of batches (id, text), those that the bitmap lets pass."""
     for b in batches(it, 100_000, 1, 8_000_000):
-        h, doc, pos, at, ends, slot, value = template_windows(b.column(1))
-        if bitmap is not None:
-            bit = h & U64(len(bitmap) * 8 - 1)
-            ok = np.flatnonzero((bitmap[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1)
-            h, doc, pos, at, ends = h[ok], doc[ok], pos[ok], at[ok], ends[ok]
-        signed = value.view(np.int64)
-        slots = [signed[i:j][slot[i:j]] for i, j in zip(at, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], names=["id", "hash", "pos", "slots"])
+        for exact, h, doc, pos, at, ends, slot, value in item_windows(b.column(1), widths):
+            if bitmap is not None:
+                bit = h & U64(len(bitmap) * 8 - 1)
+                ok = np.flatnonzero((bitmap[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1)
+                h, doc, pos, at, ends = h[ok], doc[ok], pos[ok], at[ok], ends[ok]
+            signed = value.view(np.int64)
+            slots = [signed[i:j][slot[i:j]] for i, j in zip(at, ends, strict=True)]
+            columns = (pa.array(np.full(len(h), exact)), pa.array(h.view(np.int64)), pa.array(pos, pa.int64()), pa.array(ends - at, pa.int32()), pa.array(slots, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *columns], names=["id", "exact", "hash", "pos", "width", "slots"])
 
 
 def bitmap_of(hashes: np.ndarray) -> np.ndarray:
@@ -125,23 +136,29 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = tuned(docs.sparkSession)
     named = items.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     asked = materialize(named.mapInArrow(windows, WINDOW), "item-windows")
-    total = asked.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("windows"))
+    total = asked.groupBy(F.col("id").alias("item_id"), "exact").agg(F.count_distinct("pos").alias("windows"))
     rows, kinds = asked.agg(F.count("*"), F.count_distinct("hash")).first()
+    widths = sorted({WIDTH, *(r.width for r in asked.select("width").distinct().collect())})
     sent = None
     if kinds <= FILTER:
         hashes = np.array([r.hash for r in asked.select("hash").distinct().collect()], np.int64).view(U64)
         sent = spark.sparkContext.broadcast(bitmap_of(hashes))
-    found = as_bytes(docs, "doc_id").mapInArrow(lambda it: windows(it, sent.value if sent else None), WINDOW.replace("id long", "doc_id long", 1))
-    asked = asked.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    found = as_bytes(docs, "doc_id").mapInArrow(lambda it: windows(it, sent.value if sent else None, widths), WINDOW.replace("id long", "doc_id long", 1)).select("doc_id", "hash", "pos", "slots")
+    asked = asked.select("hash", "exact", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     hits = found.join(F.broadcast(asked) if rows <= BROADCAST_ROWS else asked, "hash")
-    pair = F.transform(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
+    # windows found as they are have the item's own values, also where a sentence begins elsewhere
+    own = F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots"))
+    pair = F.transform(F.arrays_zip(F.col("item_slots").alias("i"), own.alias("d")), lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))
+    lines = hits.groupBy("doc_id", "item_id", "exact", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k])))
     lines = lines.where((values("i") == F.size("pairs")) & (values("d") == F.size("pairs")))
     changed = F.size(F.filter("pairs", lambda x: ~x["i"].eqNullSafe(x["d"])))
-    by = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max(F.size("pairs")).cast("long").alias("slots"), F.max(changed).cast("long").alias("changed"))
-    out = by.join(total, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
-    return out.where((F.col("coverage") >= COVERAGE) & (F.col("matched") >= F.least(F.lit(LEAST), "windows"))).select("doc_id", "item_id", "matched", "windows", "coverage", "slots", "changed")
+    by = lines.groupBy("doc_id", "item_id", "exact").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max(F.size("pairs")).cast("long").alias("slots"), F.max(changed).cast("long").alias("changed"))
+    out = by.join(total, ["item_id", "exact"]).withColumn("coverage", F.col("matched") / F.col("windows"))
+    out = out.where((F.col("coverage") >= COVERAGE) & (F.col("matched") >= F.least(F.lit(LEAST), "windows")))
+    columns = ("matched", "windows", "coverage", "slots", "changed")
+    first = F.min(F.struct("exact", *columns)).alias("f")  # false before true: by template if that is enough
+    return out.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", *[f"f.{k}" for k in columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -63,6 +63,15 @@ def test_templates(spark, odd, empty):
     assert op1.contaminated(odd, items.where("item_id = 99")).count() == 0
 
 
+def test_templates_find_every_verbatim_item(spark):
+    items = [(1, "Calculate 12 + 34 + 56"), (2, "photosynthesis"), (3, "Paris is nice"), (4, "Anna Bert Carl Dora Emil Fritz Gerd Hans"), (5, "7 8 9 10 11 12 13 14"), (6, "so what"), (7, "a b c d")]
+    rows = [(k, f"{prose(k, 30)} today {t} and {prose(k + 50, 30)}", "en", "a") for k, t in items] + [(20, prose(9, 60), "en", "a"), (21, "so what", "en", "a"), (22, "Calculate 99 + 98 + 97", "en", "a"), (23, "what so", "en", "a")]
+    rows += [(24, f"{prose(11, 20)} 7 8 9 99 98 12 13 14 {prose(12, 20)}", "en", "a")]
+    got = {(r.doc_id, r.item_id): r for r in op1.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(k, k) for k, _ in items} | {(21, 6)}
+    assert all(r.coverage == 1.0 and r.changed == 0 for r in got.values())
+
+
 def test_style_tree(spark):
     def page(i, body):
         return f"<html><head><title>t</title><style>p{{}}</style></head><body><div class='top'>Same words on every page of this site</div><nav><a>x{i}</a></nav><div class='body'>{body}</div><script>var a='</p>';</script><footer>f{i}</footer></body></html>"
