@@ -506,7 +506,7 @@ def adsr(s, d):
 
 @query()
 def poly_voice(s, d):
-    e = table(s, d, "events").where("user_id < 8 and event_type in ('view', 'click')")
+    e = table(s, d, "events").where("event_type in ('view', 'click')")
     notes = e.select(F.col("user_id").cast("string").alias("signal_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 1500).alias("at"), F.when(F.col("event_type") == "view", "on").otherwise("off").alias("kind"), (F.col("event_id") % 5).alias("note"), (110.0 * (1 + F.col("event_id") % 7)).alias("pitch"), F.lit(0.8).alias("velocity"))
     return keyed(gen.voices(notes, 2000), r6(F.col("y")))
 

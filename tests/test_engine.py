@@ -12,6 +12,7 @@ from rillflow.operators import generators as gen
 from rillflow.operators import history, recurrent, rewindow
 from rillflow.operators import spatial as sp
 from rillflow.plans import flow as fl
+from rillflow.registry import QUERIES
 from rillflow.sources import pcm
 from rillflow.sources.signals import rows, user_signals
 from rillflow.streaming import stateful
@@ -211,3 +212,32 @@ def test_split_render_equals_whole():
             state, y = kernel(state, x[at : at + 37])
             parts.append(y)
         assert np.allclose(np.concatenate(parts), whole, atol=1e-12)
+
+
+def test_poly_voice_renders_every_user(spark, tmp_path):
+    rows = [(100 * u + k, u, kind, 1.0) for u in (3, 8, 1499) for k, kind in enumerate(("view", "view", "click", "buy", "view", "click", "click"))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for u in (3, 8, 1499):  # under five notes a user: voices don't take each other's place
+        notes = sorted((e * 37 % 1500, e, kind) for e, v, kind, _ in rows if v == u and kind != "buy")
+        y = np.zeros(2000)
+        for at, e, kind in notes:
+            if kind == "click":
+                continue
+            off = min((t for t, f, what in notes if what == "click" and f % 5 == e % 5 and (t, f) > (at, e)), default=2000)
+            p = lp = level = 0.0
+            dt = 110.0 * (1 + e % 7) / 48000.0
+            for n in range(at, 2000):
+                level = min(1.0, level + 1 / 32) if n < off else max(0.0, level - 1 / 128)
+                if n >= off and level == 0:
+                    break
+                blep = 2 * p / dt - (p / dt) ** 2 - 1 if p < dt else ((p - 1) / dt) ** 2 + 2 * (p - 1) / dt + 1 if p > 1 - dt else 0.0
+                lp += 0.2 * (2 * p - 1 - blep - lp)
+                y[n] += lp * level * 0.8
+                p = (p + dt) % 1.0
+        want[str(u)] = y
+    got = QUERIES["poly_voice"](spark, str(tmp_path)).toPandas()
+    assert set(got.signal_id) == set(want) and len(got) == 3 * 2000
+    for u, y in want.items():
+        own = got[got.signal_id == u].sort_values("n").y.to_numpy()
+        assert np.abs(y).max() > 0.1 and np.abs(own - y).max() < 2e-6
