@@ -642,19 +642,19 @@ def feature_covariance(s, d):
 
 @query()
 def feature_pca(s, d):
-    """The three leading components of the frames' first features, scaled between their 2nd and 98th percentile."""
+    """The three leading components of the frames, scaled between their 2nd and 98th percentile."""
     import numpy as np
 
-    frames = embedding_frames(s, d).select("signal_id", "hop", F.slice("s", 1, 8).alias("x"))
-    stats = frames.select(*[F.col("x")[k].alias(f"x{k}") for k in range(8)])
-    row = stats.agg(*[F.avg(f"x{k}").alias(f"m{k}") for k in range(8)], *[F.stddev_pop(f"x{k}").alias(f"s{k}") for k in range(8)], *[F.corr(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(8) for j in range(i + 1, 8)]).first()
-    m = np.eye(8)
-    for i in range(8):
-        for j in range(i + 1, 8):
-            m[i, j] = m[j, i] = row[f"c{i}_{j}"]
+    size = 64
+    frames = embedding_frames(s, d).select("signal_id", "hop", F.col("s").alias("x"))
+    row = frames.agg(*[F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(size)], *[F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in range(size)]).first()
+    both = frames.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b")).where("i < j")
+    m = np.eye(size)
+    for r in both.groupBy("i", "j").agg(F.corr("a", "b").alias("c")).collect():  # one row for each two columns
+        m[r.i, r.j] = m[r.j, r.i] = r.c
     vectors = np.linalg.eigh(m)[1][:, ::-1][:, :3]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(3)])
-    z = [(F.col("x")[k] - row[f"m{k}"]) / row[f"s{k}"] for k in range(8)]
+    z = [(F.col("x")[k] - row[f"m{k}"]) / row[f"s{k}"] for k in range(size)]
     parts = frames.select("signal_id", "hop", *[c.alias(f"pc{k}") for k, c in enumerate(sp.mix_matrix(vectors.T.tolist(), z))])
     ends = parts.agg(*[F.percentile(f"pc{k}", F.lit(q)).alias(f"q{k}_{q}") for k in range(3) for q in (0.02, 0.98)]).first()
     scaled = lambda k: el.clamp((F.col(f"pc{k}") - ends[f"q{k}_0.02"]) / (ends[f"q{k}_0.98"] - ends[f"q{k}_0.02"]), 0.0, 1.0)

@@ -241,3 +241,18 @@ def test_poly_voice_renders_every_user(spark, tmp_path):
     for u, y in want.items():
         own = got[got.signal_id == u].sort_values("n").y.to_numpy()
         assert np.abs(y).max() > 0.1 and np.abs(own - y).max() < 2e-6
+
+
+def test_feature_pca_takes_all_dimensions(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(150, 64))
+    for lead, weight in ((8, 2.0), (30, 1.5), (50, 1.2)):  # what goes together lies past the first eight
+        x[:, lead : lead + 14] += weight * r.normal(size=(150, 1))
+    x = x.astype(np.float32).astype(float)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    z = (x - x.mean(0)) / x.std(0)
+    v = np.linalg.eigh(np.corrcoef(x.T))[1][:, ::-1][:, :3]
+    pc = z @ (v * np.sign(v[np.abs(v).argmax(0), range(3)]))
+    lo, hi = np.percentile(pc, [2, 98], axis=0)
+    got = QUERIES["feature_pca"](spark, str(tmp_path)).toPandas().sort_values("hop")
+    assert np.abs(got[["pc0", "pc1", "pc2"]].to_numpy() - np.clip((pc - lo) / (hi - lo), 0, 1)).max() < 1e-5
