@@ -34,7 +34,9 @@ LOW, CORE_LOW, MIN_PAGES, DAMPING = 0.3, 0.1, 5, 0.9
 LINKS = 0.6
 #: HTML's elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select canvas video audio".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select canvas video audio".split())
+#: Of these a parser reads on to the end of the page if the closing tag is missing.
+ENDLESS = frozenset("script style title textarea iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head button label caption center".split()
@@ -102,6 +104,7 @@ class Page:
                 text.clear()
             linked = 0
 
+        unclosed: set[str] = set()
         for m in TOKEN.finditer(source):
             if m.start() < pos:
                 continue
@@ -123,8 +126,10 @@ class Page:
                 links = 0 if closing else 1
             elif tag in RAW and not closing:
                 if not (m[3] or m[6] or "").endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
-                    pos = end.end() if end else len(source)
+                    end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
+                    if not end:
+                        unclosed.add(tag)  # nor is it closed further on
+                    pos = end.end() if end else len(source) if tag in ENDLESS else pos
             elif tag in BLOCK:
                 flush()
                 if closing:

@@ -88,6 +88,16 @@ def test_style_tree(spark):
     assert op2.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_reads_on_after_unclosed_media(spark):
+    tags = ("video", "audio", "object", "select", "canvas", "svg", "noscript")
+    rows = [(i, "https://c.example/", f"<article><p>Before it<{t} id=x><p>and after it</article>") for i, t in enumerate(tags)]
+    rows += [(20, "https://c.example/m", "<article><p>So <math><mi>x</mi><mo>+</mo><mi>y</mi></math> holds</article>"), (21, "https://c.example/s", "<article><p>Shown<script>var hidden = 1</article>")]
+    rows += [(22, "https://c.example/v", "<article><p>Shown<video>no player</video> again</article>")]
+    got = {r.page_id: r.text for r in op2.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Before it and after it" for i in range(len(tags)))
+    assert got[20] == "So x+y holds" and got[21] == "Shown" and got[22] == "Shown again"
+
+
 def brute_classes(rows):
     bags = {}
     for k, (_, t, *_x) in enumerate(rows):
