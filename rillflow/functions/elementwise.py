@@ -71,9 +71,10 @@ def pcm_bytes(code: Column, form: str, little: bool = True) -> Column:
     return F.unhex(F.concat(*[F.substring(F.hex(raw), 2 * k + 1, 2) for k in reversed(range(bits // 8))])) if little else raw
 
 
-def tpdf(seed: int) -> Column:
-    """Triangular dither from two seeded uniform draws."""
-    return F.rand(seed) + F.rand(seed + 1) - 1.0
+def tpdf(seed: int, *keys: str) -> Column:
+    """Triangular dither from two uniform draws that the row's keys decide, so it is the same under any partitioning."""
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), *keys), F.lit(1 << 32)) / float(1 << 32)
+    return draw(0) + draw(1) - 1.0
 
 
 def polyblep(p: Column, dt: float) -> Column:

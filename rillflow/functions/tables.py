@@ -43,10 +43,19 @@ def cqt_bands(bins: int, taps: int, f_min: float, per_octave: int) -> np.ndarray
     return np.array([bandpass(taps, x / edge, min(0.4999, x * edge)) for x in f])
 
 
-def resample_proto(up: int, half: int) -> np.ndarray:
-    """A Hann-windowed sinc of 2 half + 1 taps with gain up."""
-    m = np.arange(-half, half + 1)
-    h = np.sinc(m / up) * (0.5 + 0.5 * np.cos(np.pi * m / (half + 1)))
+def resample_proto(up: int, down: int, half: int) -> np.ndarray:
+    """A sinc of 2 half + 1 taps that cuts at the lower of the two rates, under a Hann window that is zero at both ends, with gain up."""
+    i = np.arange(2 * half + 1)
+    h = np.sinc((i - half) / max(up, down)) * 0.5 * (1 - np.cos(np.pi * i / half))
+    return h * up / h.sum()
+
+
+def polyphase_proto(up: int, down: int) -> np.ndarray:
+    """The prototype of a zero-phase rational converter: a Kaiser-windowed (beta 5) sinc, ten periods of the lower rate each side."""
+    most = max(up, down)
+    half = 10 * most
+    i = np.arange(2 * half + 1)
+    h = np.sinc((i - half) / most) * np.kaiser(2 * half + 1, 5.0)
     return h * up / h.sum()
 
 
@@ -59,6 +68,16 @@ def mel_bank(bins: int, bands: int = 26, rate: float = 48000.0) -> np.ndarray:
     return np.maximum(0, np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)))
 
 
+def mel_bank_floored(bins: int, frame: int, rate: float, bands: int = 26) -> np.ndarray:
+    """Triangular bands whose corners lie on whole bins, each at least one bin after the one before."""
+    mel = np.linspace(0.0, 2595 * np.log10(1 + rate / 2 / 700), bands + 2)
+    corner = np.floor(frame * 700 * (10 ** (mel / 2595) - 1) / rate).astype(int)
+    lo, b = corner[:-2, None], np.arange(bins)[None]
+    mid = np.maximum(corner[1:-1, None], lo + 1)
+    hi = np.maximum(corner[2:, None], mid + 1)
+    return np.where((b >= lo) & (b < mid), (b - lo) / (mid - lo), np.where((b >= mid) & (b < hi), (hi - b) / (hi - mid), 0.0))
+
+
 def dct(n: int, bands: int = 26) -> np.ndarray:
     """Orthonormal DCT-II, n rows."""
     k, i = np.arange(n)[:, None], np.arange(bands)[None]
@@ -81,8 +100,11 @@ MIX = {
     ("stereo", "mono"): [[0.5, 0.5]],
     ("5.1", "stereo"): [[1, 0, _HALF, 0, _HALF, 0], [0, 1, _HALF, 0, 0, _HALF]],
     ("stereo", "5.1"): [[1, 0], [0, 1], [0, 0], [0, 0], [0, 0], [0, 0]],
+    ("stereo", "7.1"): [[1, 0], [0, 1], [0, 0], [0, 0], [0, 0], [0, 0], [0, 0], [0, 0]],
+    ("5.1", "7.1"): [[1, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0], [0, 0, 1, 0, 0, 0], [0, 0, 0, 1, 0, 0], [0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 1, 0], [0, 0, 0, 0, 0, 1]],
+    ("7.1", "5.1"): [[1, 0, 0, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0, 0, 0], [0, 0, 1, 0, 0, 0, 0, 0], [0, 0, 0, 1, 0, 0, 0, 0], [0, 0, 0, 0, _HALF, 0, 1, 0], [0, 0, 0, 0, 0, _HALF, 0, 1]],
 }
-CANONICAL = {"mono": ["C"], "stereo": ["L", "R"], "5.1": ["L", "R", "C", "LFE", "Ls", "Rs"], "7.1": ["L", "R", "C", "LFE", "Ls", "Rs", "Lb", "Rb"]}
+CANONICAL = {"mono": ["C"], "stereo": ["L", "R"], "5.1": ["L", "R", "C", "LFE", "Ls", "Rs"], "7.1": ["L", "R", "C", "LFE", "Lb", "Rb", "Ls", "Rs"]}
 
 
 def permutation(canonical: list[str], device: list[str]) -> list[int]:

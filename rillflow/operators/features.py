@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,7 +106,7 @@ def chroma(df: DataFrame, bins: int, rate: float = 48000.0) -> DataFrame:
 
 def contrast_edges(bins: int, bands: int) -> list[int]:
     """Geometric band edges from 1 to bins - 1; the last is exclusive."""
-    return [int(round(float((bins - 1) ** (k / bands)))) for k in range(bands + 1)]
+    return [int(math.floor((bins - 1) ** (k / bands) + 0.5)) for k in range(bands)] + [bins - 1]
 
 
 def contrast(df: DataFrame, bins: int, bands: int) -> DataFrame:
@@ -152,16 +154,15 @@ def ballistic(df: DataFrame, attack: float = 0.6, release: float = 0.05) -> Data
 
 
 def dominant_hysteresis(df: DataFrame, keep: float = 0.7, margin: float = 1.5) -> DataFrame:
-    """The held strongest bin of the smoothed power; it changes only for one stronger by the margin."""
+    """The held strongest bin of the smoothed power, bin 0 before any; it changes only for one stronger by the margin."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hop")
-        s, held, out = None, -1, []
+        s, held, out = 0.0, 0, []
         for p in pdf["p"]:
-            p = np.asarray(p, float)
-            s = (1 - keep) * p if s is None else keep * s + (1 - keep) * p
+            s = keep * s + (1 - keep) * np.asarray(p, float)
             c = int(np.argmax(s))
-            if held < 0 or s[c] > margin * s[held]:
+            if s[c] > margin * s[held]:
                 held = c
             out.append(held)
         return pd.DataFrame({"signal_id": pdf["signal_id"], "hop": pdf["hop"], "bin": out})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+from typing import Protocol
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,73 +69,168 @@ def noise(line: DataFrame, seed: int) -> DataFrame:
 
 
 def adsr_levels(gates: list[bool], attack: float, decay: float, sustain: float, release: float, size: int) -> np.ndarray:
-    """Linear segments per sample, retriggered from where the level is; gates holds one value per block."""
-    level, stage, out, before = 0.0, "idle", [], False
+    """The level at the start of each block. It moves by linear segments, sample by sample; a held gate starts the attack from
+    where the level is, a dropped one the release."""
+    level, stage, out = 0.0, "idle", []
     for g in gates:
-        if g and not before:
-            stage = "attack"
-        elif not g and before:
-            stage, drop = "release", release
-        before = g
+        if g:
+            stage = "attack" if stage in ("idle", "release") else stage
+        elif stage != "idle":
+            stage = "release"
+        out.append(level)
         for _ in range(size):
-            if stage == "attack":
-                level += attack
-                if level >= 1.0:
-                    level, stage = 1.0, "decay"
-            elif stage == "decay":
-                level -= decay
-                if level <= sustain:
-                    level, stage = sustain, "sustain"
-            elif stage == "release":
-                level -= drop
-                if level <= 0.0:
-                    level, stage = 0.0, "idle"
-            out.append(level)
+            level, stage = envelope_step(level, stage, attack, decay, sustain, release)
     return np.array(out)
 
 
+def envelope_step(level: float, stage: str, attack: float, decay: float, sustain: float, release: float) -> tuple[float, str]:
+    """One sample on: (level, stage)."""
+    if stage == "attack":
+        return (1.0, "decay") if level + attack >= 1.0 else (level + attack, stage)
+    if stage == "decay":
+        return (sustain, "sustain") if level - decay <= sustain else (level - decay, stage)
+    if stage == "sustain":
+        return sustain, stage
+    if stage == "release":
+        return (0.0, "idle") if level - release <= 0.0 else (level - release, stage)
+    return level, stage
+
+
 def adsr(gates: DataFrame, size: int, attack: float = 1 / 32, decay: float = 1 / 64, sustain: float = 0.5, release: float = 1 / 128) -> DataFrame:
-    """(signal_id, block, gate) to a level per sample."""
+    """(signal_id, block, gate) to (signal_id, block, y): a control value per block."""
     ship(gates.sparkSession)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         y = adsr_levels(pdf["gate"].astype(bool).tolist(), attack, decay, sustain, release, size)
-        return pd.DataFrame({"signal_id": pdf["signal_id"].iloc[0], "n": np.arange(len(y)), "y": y})
+        return pd.DataFrame({"signal_id": pdf["signal_id"], "block": pdf["block"], "y": y})
+
+    return gates.groupBy("signal_id").applyInPandas(one, "signal_id string, block long, y double")
+
+
+class Voice(Protocol):
+    """What a pool of voices asks of one: triggers, a render that adds to out, and whether it still sounds. set_pressure(value),
+    set_expression(axis, value) and level() are optional."""
+
+    def note_on(self, pitch: float, velocity: float) -> None: ...
+    def note_off(self) -> None: ...
+    def render_add(self, out: np.ndarray) -> None: ...
+    def is_active(self) -> bool: ...
+
+
+def require_voice(kind: type) -> type:
+    if missing := [m for m in ("note_on", "note_off", "render_add", "is_active") if not callable(getattr(kind, m, None))]:
+        raise TypeError(f"{kind.__name__} is no voice: it has no {', '.join(missing)}")
+    return kind
+
+
+class SawVoice:
+    """A smoothed saw through a one-pole lowpass, times velocity and a linear envelope. A trigger keeps phase, filter and level."""
+
+    def __init__(self, rate: float = 48000.0, attack: float = 0.01, decay: float = 0.001, sustain: float = 0.7, release: float = 0.0005, cutoff: float = 18_000.0):
+        self.rate, self.segments = rate, (attack, decay, sustain, release)
+        self.pole = 1.0 - math.exp(-2.0 * math.pi * cutoff / rate)
+        self.phase, self.dt, self.lp, self.amount, self.velocity, self.stage = 0.0, 440.0 / rate, 0.0, 0.0, 0.0, "idle"
+
+    def note_on(self, pitch: float, velocity: float) -> None:
+        self.dt, self.velocity, self.stage = pitch / self.rate, velocity, "attack"
+
+    def note_off(self) -> None:
+        if self.stage != "idle":
+            self.stage = "release"
+
+    def is_active(self) -> bool:
+        return self.stage != "idle"
+
+    def level(self) -> float:
+        return self.amount
+
+    def render_add(self, out: np.ndarray) -> None:
+        n, dt = len(out), self.dt
+        p = self.phase + dt * np.arange(n + 1)
+        p -= np.floor(p)
+        self.phase, p = float(p[-1]), p[:-1]
+        up, down = p / dt, (p - 1.0) / dt
+        s = 2.0 * p - 1.0 - np.where(p < dt, up + up - up * up - 1.0, np.where(p > 1.0 - dt, down * down + down + down + 1.0, 0.0))
+        low = list(accumulate(s.tolist(), lambda y, v: y + self.pole * (v - y), initial=self.lp))
+        levels = np.empty(n)
+        for i in range(n):
+            levels[i] = self.amount
+            self.amount, self.stage = envelope_step(self.amount, self.stage, *self.segments)
+        self.lp = low[-1]
+        out += self.velocity * levels * np.array(low[1:])
+
+
+class VoicePool:
+    """A fixed number of voices. A note takes the first silent slot, made anew; if there is none it retriggers the oldest (or the
+    quietest) in place. A release, pressure or expression goes to the youngest sounding voice of its note alone."""
+
+    def __init__(self, make, size: int, steal: str = "oldest"):
+        self.make, self.steal = make, steal
+        self.voices, self.notes, self.ages, self.age = [make() for _ in range(size)], [None] * size, [0] * size, 0
+
+    def owner(self, note) -> int | None:
+        own = [k for k, v in enumerate(self.voices) if v.is_active() and self.notes[k] == note]
+        return max(own, key=lambda k: self.ages[k], default=None)
+
+    def apply(self, e) -> None:
+        if e.kind == "on":
+            k = next((k for k, v in enumerate(self.voices) if not v.is_active()), None)
+            if k is not None:
+                self.voices[k] = self.make()
+            else:
+                levels = [v.level() if hasattr(v, "level") else 0.0 for v in self.voices]
+                k = min(range(len(self.voices)), key=(lambda j: levels[j]) if self.steal == "quietest" and hasattr(self.voices[0], "level") else (lambda j: self.ages[j]))
+            self.age += 1
+            self.voices[k].note_on(e.pitch, e.velocity)
+            self.notes[k], self.ages[k] = e.note, self.age
+            return
+        k = self.owner(e.note)
+        if k is None:
+            return
+        if e.kind == "off":
+            self.voices[k].note_off()
+        elif e.kind == "pressure" and hasattr(self.voices[k], "set_pressure"):
+            self.voices[k].set_pressure(e.velocity)
+        elif e.kind == "expression" and hasattr(self.voices[k], "set_expression"):
+            self.voices[k].set_expression(e.axis, e.velocity)
+
+    def render(self, events: list, length: int) -> np.ndarray:
+        """voices x length; an event past the end applies there."""
+        out, at = np.zeros((len(self.voices), length)), 0
+        for e in events:
+            to = min(max(int(e.at), at), length)
+            self._segment(out, at, to)
+            self.apply(e)
+            at = to
+        self._segment(out, at, length)
+        return out
+
+    def _segment(self, out: np.ndarray, a: int, b: int) -> None:
+        for k, v in enumerate(self.voices):
+            if b > a and v.is_active():
+                v.render_add(out[k, a:b])
+
+
+def _rendered(events: DataFrame, length: int, polyphony: int, steal: str, make, split: bool) -> DataFrame:
+    ship(events.sparkSession)
+    require_voice(type(make()))
 
-    return gates.groupBy("signal_id").applyInPandas(one, "signal_id string, n long, y double")
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = VoicePool(make, polyphony, steal).render(list(pdf.sort_values(["at", "seq"]).itertuples()), length)
+        name = pdf["signal_id"].iloc[0]
+        if split:
+            return pd.DataFrame({"signal_id": name, "voice": np.repeat(np.arange(polyphony), length), "n": np.tile(np.arange(length), polyphony), "y": y.reshape(-1)})
+        return pd.DataFrame({"signal_id": name, "n": np.arange(length), "y": y.sum(axis=0)})
 
+    return events.groupBy("signal_id").applyInPandas(one, f"signal_id string, {'voice int, ' if split else ''}n long, y double")
 
-def voices(events: DataFrame, length: int, polyphony: int = 4, rate: float = 48000.0, cutoff: float = 0.2, steal: str = "oldest") -> DataFrame:
-    """Notes (signal_id, at, kind, note, pitch, velocity) to samples: smoothed saws through a one-pole and an envelope, at most
-    polyphony at once; a further note takes the oldest or the quietest voice."""
-    ship(events.sparkSession)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = list(pdf.sort_values(["at", "seq"]).itertuples())
-        pool, out, k, born = [], np.zeros(length), 0, 0
-        for n in range(length):
-            while k < len(todo) and todo[k].at <= n:
-                e = todo[k]
-                k += 1
-                if e.kind == "on":
-                    born += 1
-                    new = {"note": e.note, "dt": e.pitch / rate, "p": 0.0, "lp": 0.0, "level": 0.0, "up": True, "v": e.velocity, "born": born}
-                    if len(pool) >= polyphony:
-                        pool.remove(min(pool, key=lambda v: v["born"] if steal == "oldest" else v["level"]))
-                    pool.append(new)
-                else:
-                    for v in pool:
-                        if v["note"] == e.note:
-                            v["up"] = False
-            for v in pool:
-                v["level"] = min(1.0, v["level"] + 1 / 32) if v["up"] else max(0.0, v["level"] - 1 / 128)
-                p, dt = v["p"], v["dt"]
-                b = 2 * p / dt - (p / dt) ** 2 - 1 if p < dt else ((p - 1) / dt) ** 2 + 2 * (p - 1) / dt + 1 if p > 1 - dt else 0.0
-                v["lp"] += cutoff * (2 * p - 1 - b - v["lp"])
-                out[n] += v["lp"] * v["level"] * v["v"]
-                v["p"] = (p + dt) % 1.0
-            pool = [v for v in pool if v["up"] or v["level"] > 0]
-        return pd.DataFrame({"signal_id": pdf["signal_id"].iloc[0], "n": np.arange(length), "y": out})
-
-    return events.groupBy("signal_id").applyInPandas(one, "signal_id string, n long, y double")
+def voices(events: DataFrame, length: int, polyphony: int = 4, steal: str = "oldest", make=SawVoice) -> DataFrame:
+    """Notes (signal_id, seq, at, kind, note, pitch, velocity) to samples: the sum of a pool's voices."""
+    return _rendered(events, length, polyphony, steal, make, False)
+
+
+def voice_map(events: DataFrame, length: int, polyphony: int = 4, steal: str = "oldest", make=SawVoice) -> DataFrame:
+    """The same, each voice a row of its own (signal_id, voice, n, y), for what is done to single voices before they are summed."""
+    return _rendered(events, length, polyphony, steal, make, True)

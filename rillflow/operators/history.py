@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.functions import tables
+
+
 def order():
     """The one window that all operators of a flow share, so Catalyst sorts once."""
     return Window.partitionBy("signal_id").orderBy("n")
 
 
-
 def delay(df: DataFrame, length: int, col: str = "x", out: str = "y") -> DataFrame:
     """out[n] = in[n - length], zeros first."""
     return df.withColumn(out, F.lag(col, length, 0.0).over(order()) if length else F.col(col))
@@ -59,6 +62,12 @@ def varispeed(df: DataFrame, ratio: float) -> DataFrame:
     return some.select("signal_id", F.col("j").alias("n"), (F.col("p") + f * (F.col("x") - F.col("p"))).alias("y"))
 
 
+def planar_delay(df: DataFrame, length: int, channels: Sequence[str]) -> DataFrame:
+    """Every channel column late by length, zeros first."""
+    late = [F.lag(c, length, 0.0).over(order()).alias(c) if length else F.col(c) for c in channels]
+    return df.select("signal_id", "n", *late)
+
+
 def chorus(df: DataFrame, base: float, depth: float, rate: float, mix: float, top: int) -> DataFrame:
     """A swept linear-interpolated tap, dry/wet; feed-forward."""
     d = F.greatest(F.lit(1.0), F.least(F.lit(top - 2.0), F.lit(base) + F.lit(depth) * F.sin(2 * 3.141592653589793 * (F.col("n") * rate - F.floor(F.col("n") * rate)))))
@@ -69,17 +78,32 @@ def chorus(df: DataFrame, base: float, depth: float, rate: float, mix: float, to
     return two.select("signal_id", "n", ((1 - mix) * F.col("x") + mix * wet).alias("y"))
 
 
-def resample(df: DataFrame, up: int, down: int, proto: Sequence[float]) -> DataFrame:
-    """y[j] = sum of proto[t] x[(j down - t) / up] over the t that divide: tap join on the computed index."""
-    spark = df.sparkSession
-    taps = F.broadcast(spark.createDataFrame([(t, float(c)) for t, c in enumerate(proto)], "t long, c double"))
-    # a sample meets tap t in output j iff n * up + t = j * down
-    met = df.join(taps, F.pmod(F.col("n") * up + F.col("t"), F.lit(down)) == 0)
+def resample(df: DataFrame, up: int, down: int, proto: Sequence[float], shift: int = 0) -> DataFrame:
+    """y[j] = sum of proto[t] x[(j down + shift - t) / up] over the t that divide. A sample meets only the taps t = shift - n up
+    modulo down, each in one output; shift > 0 takes so much of the filter's delay away, shift < 0 adds delay."""
+    first = F.pmod(F.lit(shift) - F.col("n") * up, F.lit(down))
+    taps = F.array(*[F.lit(float(c)) for c in proto])
+    met = df.select("signal_id", "n", "x", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit((len(proto) - 1) // down)), lambda k: first + k * down), lambda t: t < len(proto))).alias("t"))
+    j = F.expr(f"(n * {up} + t - {shift}) div {down}")
     last = df.groupBy("signal_id").agg((F.max("n") + 1).alias("len"))
-    y = met.groupBy("signal_id", F.expr(f"(n * {up} + t) div {down}").alias("j")).agg(F.sum(F.col("x") * F.col("c")).alias("y"))
+    y = met.where(F.expr(f"n * {up} + t >= {shift}")).groupBy("signal_id", j.alias("j")).agg(F.sum(F.col("x") * F.get(taps, F.col("t").cast("int"))).alias("y"))
     return y.join(last, "signal_id").where(F.col("j") * down < F.col("len") * up).select("signal_id", F.col("j").alias("n"), "y")
 
 
+def streaming_resample(df: DataFrame, up: int, down: int, half: int) -> DataFrame:
+    """The converter that computes an output before it takes the inputs of that output: the polyphase sum, one input late."""
+    return resample(df, up, down, tables.resample_proto(up, down, half * max(up, down)), -up)
+
+
+def resample_to(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
+    """Zero-phase rational conversion between two rates."""
+    common = math.gcd(rate_in, rate_out)
+    up, down = rate_out // common, rate_in // common
+    if up == down:
+        return df.select("signal_id", "n", F.col("x").alias("y"))
+    return resample(df, up, down, tables.polyphase_proto(up, down), 10 * max(up, down))
+
+
 def bank(df: DataFrame, bands: Sequence[Sequence[float]], out: str = "p") -> DataFrame:
     """A bank of FIR filters: one array per sample."""
     lags = [F.coalesce(F.lag("x", k, 0.0).over(order()), F.lit(0.0)) for k in range(len(bands[0]))]

@@ -4,6 +4,7 @@ long signals by chunks with a lead-in, and streams by batch with the state kept.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -57,6 +58,38 @@ def one_pole(a: float) -> Kernel:
     return kernel
 
 
+def one_pole_ramped() -> Kernel:
+    """y += a (x - y) with an a for each sample (second input)."""
+
+    def kernel(state, x, a):
+        y, out = state or 0.0, np.empty(len(x))
+        for i, (v, c) in enumerate(zip(x.tolist(), a.tolist(), strict=True)):
+            y += c * (v - y)
+            out[i] = y
+        return y, out
+
+    return kernel
+
+
+def state_variable_ramped(mode: str = "lowpass") -> Kernel:
+    """The topology-preserving filter with a cutoff and a quality for each sample (second and third input)."""
+
+    def kernel(state, x, fc, q):
+        s1, s2 = state or (0.0, 0.0)
+        out = np.empty(len(x))
+        g, k = np.tan(np.pi * fc), 1 / q
+        d = 1 / (1 + g * (g + k))
+        for i, (v, gi, ki, di) in enumerate(zip(x.tolist(), g.tolist(), k.tolist(), d.tolist(), strict=True)):
+            hp = (v - (gi + ki) * s1 - s2) * di
+            bp = gi * hp + s1
+            lp = gi * bp + s2
+            s1, s2 = gi * hp + bp, gi * bp + lp
+            out[i] = {"lowpass": lp, "bandpass": bp, "highpass": hp}[mode]
+        return (s1, s2), out
+
+    return kernel
+
+
 def biquad(b0: float, b1: float, b2: float, a1: float, a2: float) -> Kernel:
     """Transposed direct form 2."""
 
@@ -236,80 +269,126 @@ def noise_shaper(bits: int = 16) -> Kernel:
     return kernel
 
 
-def asrc(target: int = 8, kp: float = 1 / 256, ki: float = 1 / 8192, lo: float = 31 / 32, hi: float = 33 / 32) -> Kernel:
-    """One sample in and one out per step through a queue: the read step is 1 - kp err - ki sum(err), clamped, with the sum held
-    while clamped; linear interpolation; an empty queue repeats the last output."""
+#: The rate controller's gains and the bounds of its ratio of outputs to inputs.
+RATE_GAINS, RATE_BOUNDS = (2.0e-4, 2.0e-6), (31 / 32, 33 / 32)
 
-    def kernel(state, x):
-        queue, frac, total, last = state or ([0.0] * target, 0.0, 0.0, 0.0)
-        queue, out = list(queue), np.empty(len(x))
-        for i, v in enumerate(x.tolist()):
-            queue.append(v)
-            err = target - len(queue)
-            r = 1 - kp * err - ki * (total + err)
-            if lo < r < hi:
-                total += err
-            r = min(hi, max(lo, r))
-            if len(queue) >= 2:
-                last = queue[0] + frac * (queue[1] - queue[0])
-                frac += r
-                while frac >= 1 and len(queue) > 1:
-                    queue.pop(0)
-                    frac -= 1
-            out[i] = last
-        return (queue, frac, total, last), out
-
-    return kernel
 
+def asynchronous(df: DataFrame, push: int, want: int, cap: int) -> DataFrame:
+    """(signal_id, n, y, ratio, starved): each call puts push samples into a queue of cap (a full one takes no more) and reads want.
+    The ratio of outputs to inputs is held for a call and follows the queue's fill by a proportional and an integral term, the
+    latter bounded to half of the ratio's interval; reads interpolate linearly, an empty queue holds its last sample."""
+    ship(df.sparkSession)
+    (kp, ki), (lo, hi) = RATE_GAINS, RATE_BOUNDS
+    most = (hi - lo) / 2 / ki
 
-def time_stretch(frame: int, stretch: float) -> Kernel:
-    """Overlap-add with a search for the best-correlated segment within half a frame; the first best wins."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("n")["x"].to_numpy()
+        queue, total, frac, a, b, primed = deque(), 0.0, 0.0, 0.0, 0.0, False
+        out, ratios, starved = [], [], []
+        for at in range(0, len(x), push):
+            part = x[at : at + push]
+            queue.extend(part[: cap - len(queue)].tolist())
+            err = len(queue) - cap / 2
+            total = min(most, max(-most, total + err))
+            r = min(hi, max(lo, 1 - kp * err - ki * total))
+            if not primed:
+                a = queue.popleft() if queue else 0.0
+                b, primed = queue.popleft() if queue else a, True
+            for _ in range(want):
+                miss = 0
+                while frac >= 1:
+                    a, frac = b, frac - 1
+                    if queue:
+                        b = queue.popleft()
+                    else:
+                        miss += 1
+                out.append(a + frac * (b - a)), ratios.append(r), starved.append(miss)
+                frac += 1 / r
+        return pd.DataFrame({"signal_id": pdf["signal_id"].iloc[0], "n": np.arange(len(out)), "y": out, "ratio": ratios, "starved": starved})
+
+    return df.select("signal_id", "n", "x").groupBy("signal_id").applyInPandas(one, "signal_id string, n long, y double, ratio double, starved long")
+
+
+def stretched(x: np.ndarray, frame: int, stretch: float) -> np.ndarray:
+    """x some stretch times as long at the same pitch: Hann grains, half overlapping on output, read where they best continue the grain
+    before. A grain is sought within one hop of its nominal place, by the normalised correlation of its first half with
+    what follows the last grain's first half; of equals the earliest wins. Ends with the first grain that reaches the end of x."""
+    if not 0.5 <= stretch <= 2:
+        raise ValueError("stretch must lie in 1/2 .. 2")
     hop, win = frame // 2, 0.5 * (1 - np.cos(2 * np.pi * np.arange(frame) / frame))
+    lead = 2 * frame
+    pad = np.concatenate([np.zeros(lead), x, np.zeros(lead + 2 * frame)])
+    segments = np.lib.stride_tricks.sliding_window_view(pad, hop)
+    energy = np.append(0, np.cumsum(pad * pad))
+    out, tail, pos, nominal, first = [], np.zeros(hop), 0, 0.0, True
+    while True:
+        if not first:
+            centre = int(np.floor(nominal + 0.5))
+            c = np.arange(max(centre - hop, -lead), centre + hop + 1) + lead
+            want = pad[pos + hop + lead : pos + 2 * hop + lead]
+            power = (energy[c + hop] - energy[c]) * (want @ want)
+            score = np.where(power > 1e-40, segments[c] @ want / np.sqrt(np.maximum(power, 1e-40)), 0.0)
+            # scores that differ by rounding alone are equals
+            pos = max(0, int(c[np.flatnonzero(score >= score.max() - 1e-12)[0]]) - lead)
+        nominal, first = nominal + hop / stretch, False
+        grain = win * pad[pos + lead : pos + lead + frame]
+        out.append(tail + grain[:hop])
+        tail = grain[hop:]
+        if pos + frame >= len(x):
+            return np.concatenate(out)
+
+
+def _own_length(df: DataFrame, fn) -> DataFrame:
+    ship(df.sparkSession)
 
-    def kernel(state, x):
-        n = int(len(x) * stretch)
-        pad = np.concatenate([np.zeros(hop), x, np.zeros(2 * frame)])
-        out, last = np.zeros(n + 2 * frame), None
-        for k in range(n // hop + 1):
-            at = int(k * hop / stretch)
-            best = at
-            if last is not None:
-                want = pad[last + hop : last + hop + frame]
-                top = -np.inf
-                for c in range(max(0, at - hop // 2), min(len(pad) - frame, at + hop // 2) + 1):
-                    seg = pad[c : c + frame]
-                    score = want[: len(seg)] @ seg / np.sqrt(seg @ seg + 1e-12)
-                    if score > top + 1e-12:
-                        top, best = score, c
-            best = min(best, len(pad) - frame)
-            out[k * hop : k * hop + frame] += win * pad[best : best + frame]
-            last = min(best, len(pad) - 2 * frame)
-        y = np.zeros(len(x))
-        m = min(len(x), n)
-        y[:m] = out[hop : hop + m]
-        return None, y
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = fn(pdf.sort_values("n")["x"].to_numpy())
+        return pd.DataFrame({"signal_id": pdf["signal_id"].iloc[0], "n": np.arange(len(y)), "y": y})
 
-    return kernel
+    return df.select("signal_id", "n", "x").groupBy("signal_id").applyInPandas(one, "signal_id string, n long, y double")
+
+
+def time_stretch(df: DataFrame, frame: int, stretch: float) -> DataFrame:
+    return _own_length(df, lambda x: stretched(x, frame, stretch))
+
+
+def pitch_shift(df: DataFrame, frame: int, pitch: float) -> DataFrame:
+    """As long as before, pitch times as high: stretched, and read that much faster by linear interpolation; silence past its end."""
+
+    def shift(x: np.ndarray) -> np.ndarray:
+        s = np.append(stretched(x, frame, pitch), 0.0)
+        return np.interp(np.arange(len(x)) * pitch, np.arange(len(s)), s, right=0.0)
+
+    return _own_length(df, shift)
 
 
 def geometric(df: DataFrame, keys: tuple[str, ...], index: str, value: str, r: float, out: str = "y") -> DataFrame:
-    """out[i] = sum over j <= i of r^(i-j) value[j], without Python and without a task per signal: chunks are summed from a zero
-    start, and each adds what its start state decays to. A chunk is so long that r^-length stays in range; where
-    r^length is under half an ulp the chunk before is all that counts, else the chunks' ends are folded."""
-    length = max(1, min(4096, int(400 / -math.log(abs(r))))) if 0 < abs(r) < 1 else 4096
+    """out[i] = sum over j <= i of r^(i-j) value[j] for |r| <= 1, without Python and without a task per signal: chunks are summed from
+    a zero start, and each adds what its start state decays to. A chunk is so long that r^-length stays in range. The
+    ends of the chunks are the same problem with r^length, solved the same way; once r^length is under half an ulp, the
+    chunk before is all that counts."""
+    if r == 0:
+        return df.withColumn(out, F.col(value))
+    if abs(r) > 1:
+        raise ValueError("a sum that grows has no chunked form")
+    length = max(2, min(4096, int(400 / -math.log(abs(r))))) if abs(r) < 1 else 4096
     at = df.withColumn("_c", F.expr(f"`{index}` div {length}")).withColumn("_i", F.col(index) % length)
     w = Window.partitionBy(*keys, "_c").orderBy(index)
     up, down = F.pow(F.lit(r), F.col("_i")), F.pow(F.lit(r), -F.col("_i"))
     own = at.withColumn("_z", F.sum(F.col(value) * down).over(w) * up)
     ends = own.groupBy(*keys, "_c").agg(F.max_by("_z", "_i").alias("_z"))
-    past, q = Window.partitionBy(*keys).orderBy("_c"), r**length
+    q = r**length
     if abs(q) < 1e-17:
-        state = F.lag("_z", 1, 0.0).over(past)
+        done = ends.withColumnRenamed("_z", "_s")
+    elif abs(q) == 1:
+        turn = F.pow(F.lit(q), F.col("_c"))
+        done = ends.withColumn("_s", F.sum(F.col("_z") * turn).over(Window.partitionBy(*keys).orderBy("_c")) * turn)
     else:
-        held = F.collect_list("_z").over(past.rowsBetween(Window.unboundedPreceding, -1))
-        state = F.aggregate(held, F.lit(0.0), lambda acc, z: acc * q + z)
-    start = ends.withColumn("_s", state).drop("_z")
-    return own.join(start, [*keys, "_c"]).withColumn(out, F.col("_z") + F.col("_s") * up * r).drop("_c", "_i", "_z", "_s")
+        above = geometric(ends.select(*keys, F.col("_c").alias("_k2"), F.col("_z").alias("_v2")), keys, "_k2", "_v2", q, "_e2")
+        done = above.select(*keys, F.col("_k2").alias("_c"), F.col("_e2").alias("_s"))
+    start = done.select(*keys, (F.col("_c") + 1).alias("_c"), "_s")
+    both = own.join(start, [*keys, "_c"], "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    return both.withColumn(out, F.col("_z") + F.col("_s") * up * r).drop("_c", "_i", "_z", "_s")
 
 
 def affine_scan(df: DataFrame, a: float) -> DataFrame:

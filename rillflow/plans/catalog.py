@@ -16,6 +16,7 @@ from rillflow.operators import history as hi
 from rillflow.operators import recurrent as rc
 from rillflow.operators import rewindow as rw
 from rillflow.operators import spatial as sp
+from rillflow.sources import pcm
 from rillflow.sources.signals import FRAMES, TYPE, USER, embedding_frames, rows, table, type_signals, user_signals
 
 QUERIES: dict = {}
@@ -92,13 +93,11 @@ for _form, (_signed, _bits) in el.PCM.items():
         return keyed(user_signals(s, d), c.alias("code"), r6(el.pcm_decode(c, form)))
 
 
-@query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n, {rs('avg((v - 128) / 128.0::DOUBLE)', 'mean')}, {rs('min((v - 128) / 128.0::DOUBLE)', 'low')} FROM (SELECT doc_id, ('0x' || substr(h, 2 * i + 1, 2))::INT AS v FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))) GROUP BY doc_id")
+@query(f"SELECT doc_id, CAST(len(b) AS BIGINT) AS n, {rs('list_avg(b)', 'mean')}, {rs('list_min(b)', 'low')} FROM (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: (('0x' || h)::INT - 128) / 128.0::DOUBLE) AS b FROM documents)")
 def pcm_documents(s, d):
-    """The bytes of documents as 8-bit samples."""
-    hexed = F.hex(F.col("text").cast("binary"))
-    at = table(s, d, "documents").select("doc_id", hexed.alias("h"), F.posexplode(F.sequence(F.lit(0), F.octet_length("text") - 1)).alias("n", "i"))
-    value = F.conv(F.substring(F.col("h"), 2 * F.col("i") + 1, F.lit(2)), 16, 10).cast("int")
-    return at.groupBy("doc_id").agg(F.count("*").alias("n"), r6(F.avg(el.pcm_decode(value, "u8")), "mean"), r6(F.min(el.pcm_decode(value, "u8")), "low"))
+    """The bytes of documents as 8-bit samples; a document without text has none, and no mean."""
+    got = pcm.byte_levels(table(s, d, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n", r6(F.col("mean"), "mean"), r6(F.col("low"), "low"))
 
 
 # Bounded history.
@@ -157,12 +156,36 @@ def chorus(s, d):
     return keyed(hi.chorus(user_signals(s, d), 8.0, 4.0, 0.013, 0.3, 20), r6(F.col("y")))
 
 
-_PROTO = tb.resample_proto(3, 6)
+def proto_sql(up: int, down: int, half: int) -> str:
+    """The converter's prototype (t, c) by its formula."""
+    m, most = f"(t - {half})", max(up, down)
+    sinc = f"CASE WHEN {m} = 0 THEN 1.0 / {most} ELSE sin(pi() * {m} / {most}) / (pi() * {m}) END"
+    return f"t AS (SELECT t, c * {up} / sum(c) OVER () AS c FROM (SELECT t, ({sinc}) * 0.5 * (1 - cos(2 * pi() * t / {2 * half})) AS c FROM (SELECT unnest(range({2 * half + 1})) AS t)))"
 
 
-@query(f"WITH {USER}, t AS (SELECT unnest({arr(_PROTO)}) AS c, unnest(range({len(_PROTO)})) AS t), l AS (SELECT signal_id, max(n) + 1 AS len FROM sig GROUP BY 1) SELECT signal_id, (n * 3 + t) // 2 AS n, {rs('sum(x * c)')} FROM sig JOIN t ON (n * 3 + t) % 2 = 0 JOIN l USING (signal_id) WHERE (n * 3 + t) // 2 * 2 < len * 3 GROUP BY 1, 2")
+@query(f"WITH {USER}, {proto_sql(3, 2, 6)}, l AS (SELECT signal_id, max(n) + 1 AS len FROM sig GROUP BY 1) SELECT signal_id, (n * 3 + t) // 2 AS n, {rs('sum(x * c)')} FROM sig JOIN t ON (n * 3 + t) % 2 = 0 JOIN l USING (signal_id) WHERE (n * 3 + t) // 2 * 2 < len * 3 GROUP BY 1, 2")
 def resampler(s, d):
-    return keyed(hi.resample(user_signals(s, d), 3, 2, _PROTO.tolist()), r6(F.col("y")))
+    return keyed(hi.resample(user_signals(s, d), 3, 2, tb.resample_proto(3, 2, 6)), r6(F.col("y")))
+
+
+@query(f"WITH {USER}, {proto_sql(2, 3, 6)}, l AS (SELECT signal_id, max(n) + 1 AS len FROM sig GROUP BY 1) SELECT signal_id, (n * 2 + t) // 3 AS n, {rs('sum(x * c)')} FROM sig JOIN t ON (n * 2 + t) % 3 = 0 JOIN l USING (signal_id) WHERE (n * 2 + t) // 3 * 3 < len * 2 GROUP BY 1, 2")
+def resampler_down(s, d):
+    return keyed(hi.resample(user_signals(s, d), 2, 3, tb.resample_proto(2, 3, 6)), r6(F.col("y")))
+
+
+@query(f"WITH {USER}, {proto_sql(3, 2, 12)}, l AS (SELECT signal_id, max(n) + 1 AS len FROM sig GROUP BY 1) SELECT signal_id, (n * 3 + t + 3) // 2 AS n, {rs('sum(x * c)')} FROM sig JOIN t ON (n * 3 + t + 3) % 2 = 0 JOIN l USING (signal_id) WHERE (n * 3 + t + 3) // 2 * 2 < len * 3 GROUP BY 1, 2")
+def runtime_resampler(s, d):
+    return keyed(hi.streaming_resample(user_signals(s, d), 3, 2, 4), r6(F.col("y")))
+
+
+_I0 = "list_sum(list_transform(range(40), lambda k: pow({0} / 2, 2 * k) / pow(gamma(k + 1), 2)))"
+_KAISER = _I0.format("(5.0 * sqrt(greatest(0.0, 1 - pow((t - 30) / 30.0, 2))))") + " / " + _I0.format("5.0")
+
+
+@query(f"WITH {USER}, t AS (SELECT t, c * 2 / sum(c) OVER () AS c FROM (SELECT t, (CASE WHEN t = 30 THEN 1.0 ELSE sin(pi() * (t - 30) / 3) / (pi() * (t - 30) / 3) END) * {_KAISER} AS c FROM (SELECT unnest(range(61)) AS t))), l AS (SELECT signal_id, max(n) + 1 AS len FROM sig GROUP BY 1) SELECT signal_id, (n * 2 + t - 30) // 3 AS n, {rs('sum(x * c)')} FROM sig JOIN t ON (n * 2 + t - 30) % 3 = 0 AND n * 2 + t >= 30 JOIN l USING (signal_id) WHERE (n * 2 + t - 30) // 3 * 3 < len * 2 GROUP BY 1, 2")
+def resample_to(s, d):
+    """From 48 to 32 thousand samples a second, without delay."""
+    return keyed(hi.resample_to(user_signals(s, d), 48_000, 32_000), r6(F.col("y")))
 
 
 @query(f"WITH {USER}, l AS (SELECT signal_id, max(n) + 1 AS len FROM sig GROUP BY 1) SELECT a.signal_id, a.n, {rs('b.x')} FROM (SELECT signal_id, len, unnest(range(len * 2)) AS n FROM l) a JOIN sig b ON b.signal_id = a.signal_id AND b.n = a.n % a.len")
@@ -308,19 +331,11 @@ def compressor_controller(s, d):
 _two = lambda df: df.withColumn("ref", F.lag("x", 2, 0.0).over(hi.order()))
 recurrence("aec", rc.nlms(8, 0.5), None, ("x", "ref"), prepare=_two)
 recurrence("howl_suppressor", rc.nlms(8, 0.5, leak=0.01), None, ("x", "ref"), prepare=_two)
-recurrence("time_stretch", rc.time_stretch(16, 1.25), None)
+query(None, "time_stretch")(lambda s, d: keyed(rc.time_stretch(user_signals(s, d), 16, 1.25), r6(F.col("y"))))
+query(None, "pitch_shift")(lambda s, d: keyed(rc.pitch_shift(user_signals(s, d), 16, 1.25), r6(F.col("y"))))
 query(None, "noise_shaper")(lambda s, d: rc.run(user_signals(s, d), rc.noise_shaper(), out=("y",), kind="long"))
 
 
-@query()
-def pitch_shift(s, d):
-    """Stretch, then read that much faster."""
-    long = rc.run(user_signals(s, d), rc.time_stretch(16, 1.25)).withColumnRenamed("y", "x")
-    at = long.select("signal_id", "n").withColumn("c", F.col("n") * 1.25)
-    one = hi.gather(long, at, F.floor("c")).withColumnRenamed("_v", "a")
-    return keyed(hi.gather(long, one, F.floor("c") + 1), r6(F.col("a") + (F.col("c") - F.floor("c")) * (F.col("_v") - F.col("a"))))
-
-
 # Re-windowing and spectra.
 FR, HOP = 64, 16
 _W = f"0.5 * (1 - cos(2 * pi() * j / {FR}))"
@@ -461,7 +476,18 @@ def spectral_contrast(s, d):
     return long_form(ft.contrast(powers(s, d), 64, 5), "contrast")
 
 
-query(None, "dominant_band_hysteresis")(lambda s, d: ft.dominant_hysteresis(powers(s, d)))
+def held_sql(frames: str, bins: int) -> str:
+    """r(signal_id, hop, s, held) over frames(signal_id, hop, p): the smoothed power and the bin that is held."""
+    c = "list_position({0}, list_max({0})) - 1"
+    take = f"CASE WHEN list_max({{0}}) > 1.5 * {{0}}[{{1}} + 1] THEN {c} ELSE {{1}} END"
+    mix = "list_transform(range({n}), lambda k: 0.7 * r.s[k + 1] + 0.3 * f.p[k + 1])".format(n=bins)
+    first = "list_transform(f.p, lambda v: 0.3 * v)"
+    return f"r AS (SELECT f.signal_id, f.hop, {first} AS s, CAST({take.format(first, 0)} AS INT) AS held FROM {frames} f WHERE f.hop = 0 UNION ALL SELECT f.signal_id, f.hop, {mix} AS s, CAST({take.format(mix, 'r.held')} AS INT) AS held FROM r JOIN {frames} f ON f.signal_id = r.signal_id AND f.hop = r.hop + 1)"
+
+
+@query(f"WITH RECURSIVE {FRAMES}, q AS (SELECT signal_id, hop, list_transform(s, lambda v: v * v) AS p FROM fr), {held_sql('q', 64)} SELECT signal_id, hop, held AS bin FROM r")
+def dominant_band_hysteresis(s, d):
+    return ft.dominant_hysteresis(powers(s, d))
 
 
 @query(f"WITH {FRAMES} SELECT signal_id, hop, {rs('list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (s[i] < 0) <> (s[i + 1] < 0) THEN 1.0 ELSE 0.0 END)) / 63')} FROM fr")
@@ -498,17 +524,33 @@ for _form, _sql in {"sine": f"sin(2 * pi() * {_LP})", "triangle": f"1 - 4 * abs(
 query(f"WITH RECURSIVE r AS (SELECT 0::BIGINT AS n, (12345::HUGEINT * {gen.LCG_A}::HUGEINT + {gen.LCG_C}) % 18446744073709551616::HUGEINT AS st UNION ALL SELECT n + 1, CAST((CAST(st // 4294967296 AS HUGEINT) * {gen.LCG_A}::HUGEINT % 4294967296 * 4294967296 + st % 4294967296 * {gen.LCG_A}::HUGEINT + {gen.LCG_C}) % 18446744073709551616::HUGEINT AS HUGEINT) FROM r WHERE n < 511) SELECT 'gen' AS signal_id, n, {rs('CAST(st // 4294967296 AS DOUBLE) / 2147483648.0 - 1')} FROM r", "noise")(lambda s, d: keyed(gen.noise(rows(s, 512), 12345), r6(F.col("y"))))
 
 
-@query()
+# a state machine by sample: stage 0 idle, 1 attack, 2 decay, 3 sustain, 4 release; edges at block starts
+_STG = "CASE WHEN s.i = 0 THEN CASE WHEN s.gate = 1 THEN CASE WHEN r.st IN (0, 4) THEN 1 ELSE r.st END ELSE CASE WHEN r.st <> 0 THEN 4 ELSE 0 END END ELSE r.st END"
+_STEP = "CASE {st} WHEN 1 THEN least(1.0, {l} + 1 / 32.0) WHEN 2 THEN greatest(0.5, {l} - 1 / 64.0) WHEN 3 THEN 0.5 WHEN 4 THEN greatest(0.0, {l} - 1 / 128.0) ELSE {l} END"
+_NEXT = "CASE {st} WHEN 1 THEN CASE WHEN {l} + 1 / 32.0 >= 1 THEN 2 ELSE 1 END WHEN 2 THEN CASE WHEN {l} - 1 / 64.0 <= 0.5 THEN 3 ELSE 2 END WHEN 4 THEN CASE WHEN {l} - 1 / 128.0 <= 0 THEN 0 ELSE 4 END ELSE {st} END"
+
+
+@query(f"WITH RECURSIVE {USER}, b AS (SELECT signal_id, n // 8 AS block, avg(x * x) AS power FROM sig GROUP BY 1, 2), g AS (SELECT signal_id, block, coalesce(last_value(CASE WHEN power > 0.05 THEN 1 WHEN power < 0.03 THEN 0 END IGNORE NULLS) OVER (PARTITION BY signal_id ORDER BY block), 0) AS gate FROM b), s AS (SELECT signal_id, block, gate, i, block * 8 + i AS t FROM g, (SELECT unnest(range(8)) AS i)), r AS (SELECT signal_id, t, i, block, CASE WHEN gate = 1 THEN 1 ELSE 0 END AS st0, 0.0::DOUBLE AS l0, CAST({_NEXT.format(st='gate', l='0.0')} AS INT) AS st, CAST({_STEP.format(st='gate', l='0.0')} AS DOUBLE) AS l FROM s WHERE t = 0 UNION ALL SELECT signal_id, t, i, block, st0, l0, CAST({_NEXT.format(st='st0', l='l0')} AS INT) AS st, CAST({_STEP.format(st='st0', l='l0')} AS DOUBLE) AS l FROM (SELECT s.signal_id, s.t, s.i, s.block, {_STG} AS st0, r.l AS l0 FROM r JOIN s ON s.signal_id = r.signal_id AND s.t = r.t + 1)) SELECT signal_id, block, {rs('l0')} FROM r WHERE i = 0")
 def adsr(s, d):
     gates = bl.power_gate(user_signals(s, d), 8, 0.05, 0.03)
-    return keyed(gen.adsr(gates, 8), r6(F.col("y")))
+    return keyed(gen.adsr(gates, 8), r6(F.col("y")), keys=("signal_id", "block"))
+
+
+def notes(s, d) -> DataFrame:
+    """Views start a note, clicks end one."""
+    e = table(s, d, "events").where("event_type in ('view', 'click')")
+    return e.select(F.col("user_id").cast("string").alias("signal_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 1500).alias("at"), F.when(F.col("event_type") == "view", "on").otherwise("off").alias("kind"), (F.col("event_id") % 5).alias("note"), (110.0 * (1 + F.col("event_id") % 7)).alias("pitch"), F.lit(0.8).alias("velocity"))
 
 
 @query()
 def poly_voice(s, d):
-    e = table(s, d, "events").where("event_type in ('view', 'click')")
-    notes = e.select(F.col("user_id").cast("string").alias("signal_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 1500).alias("at"), F.when(F.col("event_type") == "view", "on").otherwise("off").alias("kind"), (F.col("event_id") % 5).alias("note"), (110.0 * (1 + F.col("event_id") % 7)).alias("pitch"), F.lit(0.8).alias("velocity"))
-    return keyed(gen.voices(notes, 2000), r6(F.col("y")))
+    return keyed(gen.voices(notes(s, d), 2000), r6(F.col("y")))
+
+
+@query()
+def voice_map(s, d):
+    """Voices rendered apart, then summed."""
+    return keyed(gen.voice_map(notes(s, d), 2000).groupBy("signal_id", "n").agg(F.sum("y").alias("y")), r6(F.col("y")))
 
 
 # Channels and mixing.
@@ -664,7 +706,7 @@ def feature_pca(s, d):
 @query()
 def dither_tpdf(s, d):
     """16-bit codes with triangular dither of one step."""
-    return keyed(user_signals(s, d), el.pcm_encode(F.col("x") * 0.9, "s16", el.tpdf(5)).alias("y"))
+    return keyed(user_signals(s, d), el.pcm_encode(F.col("x") * 0.9, "s16", el.tpdf(5, "signal_id", "n")).alias("y"))
 
 
 @query()
@@ -679,7 +721,8 @@ def deep_space(s, d):
 @query()
 def asynchronous_resampler(s, d):
     """A reader whose rate follows the fill of its queue (a proportional-integral controller), over a recorded schedule."""
-    return keyed(rc.run(user_signals(s, d), rc.asrc(), ("x",)), r6(F.col("y")))
+    got = rc.asynchronous(user_signals(s, d), 17, 16, 64)
+    return keyed(got, r6(F.col("y")), r6(F.col("ratio"), "ratio"), "starved")
 
 
 _F = f"WITH {SPEC}, q AS (SELECT signal_id, hop, k, re * re + im * im AS p FROM sp), f AS (SELECT signal_id, hop, sqrt(avg(p)) AS rms, sum(k * p) / sum(p) AS centroid, CAST(arg_min(k, (-p, k)) AS INT) AS dominant, sum(p) AS t FROM q GROUP BY 1, 2), x AS (SELECT a.signal_id, a.hop, sqrt(sum(pow(greatest(0, a.p - coalesce(b.p, 0)), 2))) AS flux FROM q a LEFT JOIN q b ON b.signal_id = a.signal_id AND b.hop = a.hop - 1 AND b.k = a.k GROUP BY 1, 2), c AS (SELECT signal_id, hop, CAST(min(k) AS INT) AS rolloff FROM (SELECT signal_id, hop, k, sum(p) OVER (PARTITION BY signal_id, hop ORDER BY k) AS run, t FROM q JOIN f USING (signal_id, hop)) WHERE run >= 0.85 * t GROUP BY 1, 2)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions.ship import ship
+from rillflow.operators import history
 
 #: Samples in one output batch.
 STEP = 1 << 16
@@ -70,6 +72,32 @@ def read_pcm(spark: SparkSession, path: str, form: str | None = None, channels:
     return files.mapInArrow(run, "signal_id string, n long, ch int, x double")
 
 
+def byte_levels(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, mean, low) of each row's text read as unsigned 8-bit samples: one pass over the bytes."""
+    ship(docs.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            parts = [np.frombuffer(raw.as_buffer(), np.uint8) if raw.is_valid else np.empty(0, np.uint8) for raw in b.column(1)]
+            n = [len(p) for p in parts]
+            mean = [(int(p.sum(dtype=np.int64)) - 128 * len(p)) / 128 / len(p) if len(p) else None for p in parts]
+            low = [(int(p.min()) - 128) / 128 if len(p) else None for p in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(low, pa.float64())], names=["doc_id", "n", "mean", "low"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, mean double, low double")
+
+
+def analysis_lpcm(spark: SparkSession, path: str, rate: int, source_rate: int, form: str | None = None, channels: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Files to mono at one rate: (signal_id, n, x) with what isn't finite as silence, and a sidecar row for each file."""
+    mono = to_mono(read_pcm(spark, path, form, channels))
+    out = history.resample_to(mono, source_rate, rate)
+    out = out.select("signal_id", "n", F.when(F.isnan("y") | (F.abs("y") == float("inf")), 0.0).otherwise(F.col("y")).cast("float").alias("x"))
+    sidecar = out.groupBy("signal_id").agg(F.count("*").alias("frames")).select(
+        F.col("signal_id").alias("source"), F.lit(source_rate).alias("source_sample_rate"), F.lit(rate).alias("sample_rate"), F.lit(1).alias("channels"), F.lit("float32").alias("dtype"), "frames", (F.col("frames") / rate).alias("duration_sec")
+    )
+    return out, sidecar
+
+
 def to_mono(df: DataFrame) -> DataFrame:
     """Channel mean, with what isn't a number as silence."""
     return df.groupBy("signal_id", "n").agg(F.avg(F.when(F.isnan("x"), 0.0).otherwise(F.col("x"))).alias("x"))
@@ -81,6 +109,47 @@ def matrix_columns(df: DataFrame, keys: tuple[str, ...] = ("signal_id", "hop"))
     return df.select(*keys, F.flatten(F.array(*parts)).alias("row"))
 
 
+def matrix_width(row, sizes: dict[str, int] | None = None, keys: tuple[str, ...] = ("signal_id", "hop")) -> int:
+    """How many floats a row of a schema flattens to: one for each number, sizes[name] for each array; anything else is refused."""
+    width = 0
+    for f in row.fields:
+        if f.name in keys:
+            continue
+        kind = f.dataType.typeName()
+        if kind == "array":
+            width += (sizes or {})[f.name]
+        elif kind in ("double", "float", "integer", "long", "short", "byte"):
+            width += 1
+        else:
+            raise TypeError(f"{f.name} is neither a number nor an array of numbers")
+    return width
+
+
+def write_raw_matrix(df: DataFrame, path: str, sidecar: dict) -> None:
+    """One signal's matrix as raw row-major little-endian float32 and a JSON sidecar, to any file system that Spark reaches. Rows come to
+    the driver a partition at a time, as a raw file has one writer."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def written(to: str, chunks) -> None:
+        target = jvm.org.apache.hadoop.fs.Path(to)
+        stream = target.getFileSystem(conf).create(target, True)
+        for c in chunks:
+            stream.write(bytearray(c))
+        stream.close()
+
+    n = 0
+
+    def rows():
+        nonlocal n
+        for r in matrix_columns(df).orderBy("signal_id", "hop").select("row").toLocalIterator():
+            n += 1
+            yield np.asarray(r.row, "<f4").tobytes()
+
+    written(path, rows())
+    written(f"{path}.json", [json.dumps(sidecar | {"n_frames": n}).encode()])
+
+
 def write_matrix(df: DataFrame, path: str) -> None:
     """The feature matrix as Parquet, hops in order within a signal."""
     matrix_columns(df).repartition("signal_id").sortWithinPartitions("signal_id", "hop").write.mode("overwrite").parquet(path)
