@@ -24,6 +24,33 @@ def ramped(df: DataFrame, gains: DataFrame, size: int, start: float = 1.0) -> Da
     return at.select("signal_id", "n", (F.col("x") * (F.col("g0") + (F.col("n") % size + 1) * (F.col("g") - F.col("g0")) / size)).alias("y"))
 
 
+def glide(df: DataFrame, levels: dict[str, tuple[DataFrame, float]], size: int) -> DataFrame:
+    """df with a column per parameter: its level (signal_id, block, g) moves linearly across each block, from the block before (or
+    the value it starts with) to its own at the block's end. How parameter edges, mutes, solos and fades reach a node."""
+    at = df.withColumn("block", F.expr(f"n div {size}"))
+    for name, (level, start) in levels.items():
+        both = level.select("signal_id", "block", F.col("g").alias("_g"), F.lag("g", 1, start).over(by_block()).alias("_g0"))
+        at = at.join(both, ["signal_id", "block"]).withColumn(name, F.col("_g0") + (F.col("n") % size + 1) * (F.col("_g") - F.col("_g0")) / size).drop("_g", "_g0")
+    return at.drop("block")
+
+
+def transitions(blocks: DataFrame, said: DataFrame, nodes: list[str], start: float = 0.0) -> DataFrame:
+    """The level of each node by block from a short table of commands (block, command, node): mute and fade_out to 0, unmute and
+    fade_in to 1, solo to 1 and all others to 0; a later command of a block wins over an earlier one by its place in this list."""
+    orders = ["mute", "unmute", "solo", "fade_in", "fade_out"]
+    rank = F.array_position(F.array(*[F.lit(o) for o in orders]), F.col("command"))
+    out = blocks
+    for k in nodes:
+        target = F.when(F.col("command") == "solo", F.when(F.col("node") == k, 1.0).otherwise(0.0)).when(F.col("node") == k, F.when(F.col("command").isin("unmute", "fade_in"), 1.0).otherwise(0.0))
+        own = said.select(F.col("block").alias("_b"), rank.alias("_r"), target.alias("_t")).where("_t is not null")
+        # the commands are a handful, typed by hand: they go with the plan
+        due = F.broadcast(own.groupBy("_b").agg(F.max_by("_t", "_r").alias("_t")))
+        named = out.join(due, F.col("block") == F.col("_b"), "left").drop("_b")
+        held = F.last("_t", ignorenulls=True).over(by_block().rowsBetween(Window.unboundedPreceding, 0))
+        out = named.withColumn(k, F.coalesce(held, F.lit(start))).drop("_t")
+    return out
+
+
 def agc_gains(df: DataFrame, size: int, target: float = 0.25, rate: float = 0.1, top: float = 8.0) -> DataFrame:
     """(signal_id, block, g): g moves by a rate towards target / rms, at most top. Blocks are few, so the fold runs per signal."""
     ship(df.sparkSession)

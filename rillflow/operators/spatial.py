@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions import tables
+from rillflow.functions.elementwise import gain_fixed
 
 
 def pan(x: Column, position: float) -> tuple[Column, Column]:
@@ -87,6 +88,30 @@ def matrix_router(df: DataFrame, m: Sequence[Sequence[float]]) -> DataFrame:
     return df.join(coeff, "ch").groupBy("signal_id", "n", "out").agg(F.sum(F.col("x") * F.col("c")).alias("y"))
 
 
+def _stored(wide: Column, bits: int) -> Column:
+    return F.greatest(F.lit(-(1 << (bits - 1))), F.least(F.lit((1 << (bits - 1)) - 1), wide)).cast("long")
+
+
+def mix_fixed(codes: Sequence[Column], bits: int = 16) -> Column:
+    """A sum of codes that saturates once, at the end."""
+    return _stored(reduce(lambda a, b: a + b, [c.cast("long") for c in codes]), bits)
+
+
+def route_fixed(m: Sequence[Sequence[float]], codes: Sequence[Column], bits: int = 16) -> list[Column]:
+    """A matrix with bits - 2 fraction bits: a wide sum, one rounding shift, saturation."""
+    frac = bits - 2
+    rows = [[round(v * (1 << frac)) for v in row] for row in m]
+    total = lambda row: reduce(lambda a, b: a + b, [c.cast("long") * v for v, c in zip(row, codes, strict=True)])
+    return [_stored(F.shiftright(total(row) + (1 << (frac - 1)), frac), bits) for row in rows]
+
+
+def pan_fixed(code: Column, position: float, bits: int = 16) -> tuple[Column, Column]:
+    """Constant power by gains with bits - 1 fraction bits."""
+    t, top = (position + 1) * math.pi / 4, 1 << (bits - 1)
+    gains = [min(top - 1, round(v * top)) for v in (math.cos(t), math.sin(t))]
+    return tuple(gain_fixed(code, g, bits - 1, bits) for g in gains)
+
+
 def dry_wet(dry: DataFrame, wet: DataFrame, mix: float) -> DataFrame:
     m = min(1.0, max(0.0, mix))
     both = dry.select("signal_id", "n", F.col("x").alias("d")).join(wet.select("signal_id", "n", F.col("x").alias("w")), ["signal_id", "n"])

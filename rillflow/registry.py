@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rillflow.plans import extended  # noqa: F401  (registers its queries)
 from rillflow.plans.catalog import FLAGSHIP, ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
