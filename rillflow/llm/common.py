@@ -42,9 +42,49 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     planner know the true size of what follows."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    forget(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str, now: bool = False) -> None:
+    """Delete an intermediate table when the application ends, or now."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True) if now else files.deleteOnExit(target)
+
+
+def free_names(columns: list[str], *bases: str) -> list[str]:
+    """A name for each base that no column has."""
+    taken = {c.lower() for c in columns}
+    return [next(n for i in range(len(taken) + 1) if (n := f"_{b}{i or ''}") not in taken) for b in bases]
+
+
+def text_key(text: str = "text"):
+    """A 64-bit hash of the text; with the doc_id it tells rows apart that share an id. Rows equal in both are interchangeable."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+#: Bits of a bitmap that lets the rows through whose key may be among some; at most so many, whatever the number of keys.
+BITMAP_BITS = 1 << 26
+
+
+def bitmap_of(keys: DataFrame, key: str, n: int) -> np.ndarray:
+    """Bits of the low part of each 64-bit key, 16 for a key until BITMAP_BITS are reached; from there more rows pass. Words are made by
+    the executors; the driver gets BITMAP_BITS / 64 numbers at most."""
+    bits = min(BITMAP_BITS, 1 << max(12, (16 * max(1, n)).bit_length()))
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of int64 keys, whether each one's bit is set."""
+    at = keys & np.int64(len(bitmap) * 64 - 1)
+    return ((bitmap[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Short Arrow batches, so that a worker's memory doesn't follow the length of documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
