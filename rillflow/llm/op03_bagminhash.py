@@ -14,10 +14,13 @@ counts for it. Two components are equal with the probability of the weighted Jac
    components, in blocks of bounded size; a pair is tried in the first band it shares only. So no bucket is
    capped, no group is collected, and copies that the hub has gathered make no pairs among themselves.
 
-A pair of which under LIKELY of the components agree isn't verified: of pairs at the threshold, one in fifty thousand.
+A pair of which under LIKELY of the components agree isn't verified: of pairs at the threshold, 1 in 1.6 billion (a binomial
+tail: 39 or fewer of 80 at 0.8). The bands miss 2.5 in 100,000 of pairs at exactly the threshold, and fewer above it.
 
 Nulls and texts without a word belong to no group: each such row is its own class. Rows that repeat a doc_id are
-rows of their own; a class is named by the least doc_id in it (null only if all its ids are null).
+rows of their own; a class is named by the least doc_id in it (null only if all its ids are null), and told apart from
+others by class_key, as ids may repeat. Very long texts are bags like others; batches are cut by bytes. An empty table gives an empty
+one. Of docs only doc_id and text are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import U64, as_bytes, batches, flat_windows, materialize, mix, table, tuned, words_of
+from rillflow.llm.common import U64, as_bytes, batches, bitmap_of, flat_windows, forget, in_bitmap, materialize, mix, table, text_key, tuned, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -41,8 +44,7 @@ HORIZON = 7.0
 #: Members of a block in step 4, about: outside the hub's component, and all.
 ACROSS, DOWN = 256, 512
 #: Share of signature components (8 bits of each) that must agree before a pair is verified.
-LIKELY = 0.62
-FILTER_BITS = 1 << 27
+LIKELY = 0.5
 
 
 def bags(col: pa.Array, width: int = WIDTH):
@@ -136,28 +138,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches(it):
-        doc, h, count, nodes = bags(b.column(1))
+    for b in batches(it, column=2):
+        doc, h, count, nodes = bags(b.column(2))
         sig = signatures(doc, h, count, b.num_rows)
         keys, short = band_keys(sig), (sig >> np.uint32(8)).astype(np.uint8)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), lists, pa.array([x.tobytes() for x in short], pa.binary())], schema=SIGNED)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), lists, pa.array([x.tobytes() for x in short], pa.binary())], schema=SIGNED)
 
 
 SHINGLED = pa.schema([("node", pa.binary()), ("bag", pa.binary())])
 
 
 def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sorted 32-bit fingerprints of (shingle, k-th occurrence)) of each text of batches (id hash, text)."""
+    """(node, sorted 64-bit fingerprints of (shingle, k-th occurrence)) of each text of batches (id hash, text)."""
     for b in batches(it):
         doc, h, count, nodes = bags(b.column(1))
         which = np.repeat(np.arange(len(h)), count)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        prints = (mix(h[which] ^ mix(nth.astype(U64))) >> U64(32)).astype(np.uint32)
+        prints = mix(h[which] ^ mix(nth.astype(U64)))
         edges = np.searchsorted(doc[which], np.arange(b.num_rows + 1))
         bag = [np.sort(prints[p:q]).tobytes() for p, q in itertools.pairwise(edges)]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(bag, pa.binary())], schema=SHINGLED)
@@ -165,7 +167,7 @@ def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard of two bags from shingled(): each unit of multiplicity is an element."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
     if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
         return 0.0
     both = np.sort(np.concatenate([x, y]), kind="stable")
@@ -192,25 +194,20 @@ def likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bags_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, bag) of the nodes. A bitmap of at most FILTER_BITS bits, made by bit_or per word, lets nearly only the texts of
-    nodes' first documents through, so that no text is shuffled; the join by node decides."""
+    """(node, bag) of the nodes. A bitmap of bounded size lets nearly only the texts of nodes' first documents through, so that no
+    text is shuffled; the join by node decides."""
     spark = docs.sparkSession
-    bits = min(FILTER_BITS, 1 << max(12, (16 * nodes.count()).bit_length()))
-    bit = F.pmod(F.xxhash64("first_id"), F.lit(bits))
-    words = nodes.select(F.shiftright(bit, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(first_id), {bits}L) % 32 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).collect()
-    bitmap = np.zeros(bits // 32, np.int64)
-    bitmap[[r.w for r in words]] = [r.b for r in words]
-    sent = spark.sparkContext.broadcast(bitmap)  # FILTER_BITS / 4 bytes at most
+    hashed = nodes.select(F.xxhash64("first_id").alias("h"))
+    sent = spark.sparkContext.broadcast(bitmap_of(hashed, "h", nodes.count()))  # BITMAP_BITS at most
 
     def run(it):
         def some():
             for b in it:
-                at = b.column(0).to_numpy()
-                yield b.filter(pa.array((sent.value[at >> 5] >> (at & 31)) & 1 == 1))
+                yield b.filter(pa.array(in_bitmap(sent.value, b.column(0).to_numpy())))
 
         return shingled(some())
 
-    texts = as_bytes(docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit")), "bit")
+    texts = as_bytes(docs.select("text", F.xxhash64("doc_id").alias("h")), "h")
     found = texts.mapInArrow(run, "node binary, bag binary").join(nodes.select("node"), "node", "left_semi")
     return materialize(found.dropDuplicates(["node"]), "bags")
 
@@ -226,6 +223,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, bag: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable over edges (u, v), by alternating large-star and small-star steps."""
+    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     before = None
     while True:
@@ -239,7 +237,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = materialize(small, "edges")
+        old, now = now, materialize(small, "edges")
+        forget(spark, old.inputFiles()[0].rsplit("/", 1)[0], now=True)  # this round's table is written; the last one's isn't read again
 
 
 def block(t: pa.Table) -> pa.Table:
@@ -249,7 +248,7 @@ def block(t: pa.Table) -> pa.Table:
     side = t.column("side").to_numpy()
     keys = np.array(t.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, M)
-    node, bag = t.column("node").to_pylist(), [np.frombuffer(x, np.uint32) for x in t.column("bag").to_pylist()]
+    node, bag = t.column("node").to_pylist(), [np.frombuffer(x, U64) for x in t.column("bag").to_pylist()]
     _, comp = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)
     rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     out: list[tuple] = []
@@ -274,9 +273,10 @@ def block(t: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id, class_size of each row of docs."""
+    """doc_id, text_key, node, class_key, class_id, class_size of each row of docs; node and class_key are null without a word."""
     spark = tuned(docs.sparkSession)
-    signed = materialize(as_bytes(docs, "doc_id").mapInArrow(sign, "doc_id long, node binary, keys array<long>, sig binary"), "signed")
+    text = as_bytes(docs.select("doc_id", text_key().alias("text_key"), "text"), "doc_id", "text_key")
+    signed = materialize(text.mapInArrow(sign, "doc_id long, text_key long, node binary, keys array<long>, sig binary"), "signed")
     nodes = materialize(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
     members = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -306,9 +306,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comp = components(as_edges(links.unionByName(more)))
     named = nodes.select("node", "first_id", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_class = named.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    node_class = materialize(named.join(by_class, "comp").select("node", "class_id", "class_size"), "classes")
-    return signed.select("doc_id", "node").join(node_class, "node", "left").select(
-        "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
+    node_class = materialize(named.join(by_class, "comp").select("node", F.col("comp").alias("class_key"), "class_id", "class_size"), "classes")
+    return signed.select("doc_id", "text_key", "node").join(node_class, "node", "left").select(
+        "doc_id", "text_key", "node", "class_key", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
     )
 
 
