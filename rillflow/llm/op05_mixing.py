@@ -11,8 +11,9 @@ Targets: sources by code point (null last) weigh 5, 2, 1, repeating, and share a
 source's words, and the excess goes to the others by weight (water filling, solved in closed form).
 
 Running sums are two-level (buckets of the shuffled order, chunks of the schedule), so a source with a third of all rows isn't in
-one task. Null texts have no words and are never taken; rows that repeat a doc_id are rows of their own; a null id
-is shuffled as 'null'; an empty table gives an empty one.
+one task. A row's place in the order comes from its doc_id and text together, so rows that share an id, or have none, are
+dealt out like others. Rows without words are in no stream, as they are never taken: null and empty texts. Rows that
+repeat a doc_id are rows of their own. Of docs only doc_id, text and source are read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -53,15 +54,16 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def streams(sizes: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """sizes with src and the document's range [start, end) in its source's shuffled stream."""
+    sizes = sizes.where("size > 0")
     n = sizes.count()
     digits = max(1, math.ceil(math.log(max(1, n / ROWS), 16)))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_md5")))
     named = sizes.join(sources.select(F.col("source").alias("_s"), "src"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("key", key).withColumn("part", F.substring("key", 1, digits))
     parts = named.groupBy("src", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.select("src", "part", (F.sum("part_size").over(Window.partitionBy("src").orderBy("part")) - F.col("part_size")).alias("base"))
     inside = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     out = named.withColumn("end", F.sum("size").over(inside)).join(parts, ["src", "part"])
-    return out.select("src", "doc_id", "size", (F.col("base") + F.col("end") - F.col("size")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+    return out.select("src", "doc_id", "text_md5", "size", (F.col("base") + F.col("end") - F.col("size")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -92,30 +94,32 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(per document, schedule, pieces). pieces: (src, block, doc_id, size, start, lo, hi), the part of each document
+    """(per document, schedule, pieces). Per document: doc_id, text_md5 and the columns of the query. pieces: (src, block, doc_id, size, start, lo, hi), the part of each document
     in each block; schedule joined with pieces on (src, block) is the mix in order of position."""
-    sizes = materialize(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+    text_md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    sizes = materialize(docs.select("doc_id", text_md5.alias("text_md5"), "source", word_count().alias("size")), "sizes")
     sources = materialize(targets(sizes), "sources")
     stream = materialize(streams(sizes, sources, seed), "streams")
     slots = schedule(sources, block)
-    pieces = stream.where("size > 0").select("src", "doc_id", "size", "start", "end", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")).alias("block"))
+    pieces = stream.select("src", "doc_id", "size", "start", "end", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")).alias("block"))
     pieces = pieces.select("src", "block", "doc_id", "size", "start", F.greatest("start", F.col("block") * block).alias("lo"), F.least("end", (F.col("block") + 1) * block).alias("hi"))
     uses = slots.groupBy("src", "block", "hi").agg(F.count("*").alias("uses")).withColumnRenamed("hi", "to")
     got = pieces.join(uses, ["src", "block"]).select("src", "start", (F.col("uses") * F.greatest(F.lit(0), F.least("hi", "to") - F.col("lo"))).alias("t")).groupBy("src", "start").agg(F.sum("t").alias("taken"))
-    # of the documents that begin at one place only one has words
-    got = got.select(F.col("src").alias("s0"), F.col("start").alias("at"), "taken")
-    out = stream.join(got, (F.col("src") == F.col("s0")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left").select("src", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    out = out.join(sources.select("src", "source_size", "target"), "src").select("doc_id", "size", "source_size", "target", "taken")
-    return out, slots, pieces
+    out = stream.join(got, ["src", "start"], "left").select("src", "doc_id", "text_md5", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    told = sources.select("source", "src", "source_size", "target")
+    out = out.join(told, "src").select("doc_id", "text_md5", "source", "size", "source_size", "target", "taken")
+    none = sizes.where("size = 0").alias("d").join(told.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    none = none.select("doc_id", "text_md5", "d.source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return out.unionByName(none), slots, pieces
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))[0]
+    return mixed(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+        md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS src FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][src % 3 + 1] AS w, source_size * 3.0::DOUBLE AS cap FROM s),
 f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level
