@@ -57,10 +57,99 @@ def test_templates(spark, odd, empty):
     mixed_up = again.replace("then Maria", "then Juan")
     rows = [(1, f"{prose(5, 30)}. {again}", "en", "a"), (2, item, "en", "a"), (3, mixed_up, "en", "a"), (4, prose(6, 50), "en", "a"), (5, None, None, None), (2, item, "en", "a")]
     got = {(r.doc_id, r.item_id): r for r in op1.contaminated(table(spark, rows), items).collect()}
-    assert set(got) == {(1, 7), (2, 7)}
-    assert got[1, 7].changed > 0 and got[2, 7].changed == 0 and got[2, 7].coverage == 1.0
+    assert set(got) == {(1, 7), (2, 7), (3, 7)}  # of the third, the windows with the name that doesn't fit are left out
+    assert got[1, 7].changed > 0 and got[2, 7].changed == 0 and got[2, 7].coverage == got[1, 7].coverage == 1.0 > got[3, 7].coverage
     assert op1.contaminated(empty, items).count() == 0
     assert op1.contaminated(odd, items.where("item_id = 99")).count() == 0
+    assert op1.contaminated(odd.withColumn("hash", F.lit(1)).withColumn("item_id", F.lit(2)).withColumn("_id", F.lit(3)), items).count() == 0
+
+
+def test_templates_tell_rows_with_one_id_apart(spark):
+    item = "If Alice has 3 apples and gives 2 kg of them to Bob then Alice keeps one more apple than Bob had before"
+    again, other = item.replace("Alice", "Maria").replace("3", "8"), item.replace("Alice", "Zoe").replace("3", "9")
+    rows = [(1, again, "en", "a"), (1, other, "en", "a"), (1, prose(3, 40), "en", "a"), (None, again, "en", "a"), (None, other, "en", "a"), (None, None, "en", "a"), (2, again, "en", "a"), (2, again, "en", "a")]
+    got = op1.contaminated(table(spark, rows), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == {(1, 7): 2, (None, 7): 2, (2, 7): 1}
+
+
+def test_templates_need_consistent_slots(spark):
+    names = "Alice Bob Carl Dora Emil Fritz Gerd Hans".split()
+    item = "we saw that " + " ".join(f"Alice went off {w}" for w in ("home", "away", "there", "back", "west", "east", "north", "south"))
+    other = "we saw that " + " ".join(f"{n} went off {w}" for n, w in zip(names, ("home", "away", "there", "back", "west", "east", "north", "south"), strict=True))
+    one = item.replace("Alice", "Zoe")
+    got = op1.contaminated(table(spark, [(1, other, "en", "a"), (2, one, "en", "a")]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {2}
+
+
+def template_tokens(text):
+    """Tokens (template, value) by plain string operations, for texts of ASCII words."""
+    out, begins = [], True
+    for line in text.split("\n"):
+        begins = True
+        for word in line.split():
+            bare = word.strip("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~")
+            if bare:
+                low = bare.lower()
+                number = bare[0].isdigit() or low in op1.NUMBERS
+                unit = bool(out) and out[-1][0] == "#" and low in op1.UNITS
+                name = bare[0].isupper() and not begins and not (len(bare) > 1 and bare[1].isupper())
+                out.append(("#" if number else "@" if name else "u" if unit else low, low))
+                if name and unit:
+                    out[-1] = ("@", low)
+            if bare:
+                begins = word[-1] in "!.?:;"
+            else:
+                begins = begins or word[-1] in "!.?:;"
+    return out
+
+
+def brute_contaminated(text, item):
+    """Whether the item is in the text: alignments by every diagonal, slots by the pairs that most windows show."""
+    a, b = template_tokens(text), template_tokens(item)
+    if not b:
+        return False
+    width = min(5, len(b))
+    for exact in (False, True):
+        col = 1 if exact else 0
+        ok = [p for p in range(len(b) - width + 1) if exact or sum(x[0] not in "#u@" for x in b[p : p + width]) >= min(width, 3)]
+        matched = set()
+        for diagonal in range(-len(b), len(a)):
+            hits = [p for p in ok if 0 <= p + diagonal and p + diagonal + width <= len(a) and [x[col] for x in a[p + diagonal : p + diagonal + width]] == [x[col] for x in b[p : p + width]]]
+            shown = {p: [] if exact else [(b[p + k][1], a[p + diagonal + k][1]) for k in range(width) if b[p + k][0] in ("#", "u", "@")] for p in hits}
+            count = Counter(pair for pairs in shown.values() for pair in set(pairs))
+            left, right, taken = set(), set(), set()
+            for (i, d), _ in count.most_common():
+                if i not in left and d not in right:
+                    left.add(i), right.add(d), taken.add((i, d))
+            matched |= {p for p in hits if set(shown[p]) <= taken}
+        if ok and len(matched) >= max(0.3 * len(ok), min(4, len(ok))):
+            return True
+    return False
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(8)
+    people, things, units = "Anna Bert Carla Dirk Eva".split(), "apples pears books pens cups".split(), ["kg", "miles", "hours", ""]
+    fill = lambda: f"when {r.choice(people)} takes {r.randrange(2, 60)} {r.choice(units)} of {r.choice(things)} from {r.choice(people)} and then hands {r.randrange(2, 60)} of the {r.choice(things)} back how many are left"
+    items = [(k, fill()) for k in range(6)] + [(6, "only four small words"), (7, "Add 3 5 8")]
+    rows = []
+    for k in range(60):
+        kind = r.randrange(5)
+        body = [prose(k, 12), fill() if kind == 0 else items[r.randrange(8)][1] if kind == 1 else fill().replace("takes", "drops") if kind == 2 else prose(-k, 9), prose(k + 99, 6)]
+        rows.append((k, ". ".join(body) if kind else " ".join(body), "en", "a"))
+    got = {(x.doc_id, x.item_id) for x in op1.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, k) for i, t, *_ in rows for k, item in items if brute_contaminated(t, item)}
+    assert got == want and 20 < len(want) < 400
+
+
+def test_templates_by_shuffle(spark):
+    """With joins dealt by hash, as they are once the items are large."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_templates_find_every_verbatim_item(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_templates_find_every_verbatim_item(spark):
@@ -137,6 +226,23 @@ def test_bagminhash_classes(spark, odd, empty):
     assert op3.near_duplicates(odd).count() == odd.count()
     assert {r.class_id for r in op3.near_duplicates(odd).where("doc_id in (1, 2, 3)").collect()} == {1}
     assert op3.near_duplicates(empty).count() == 0
+    assert op3.near_duplicates(odd.withColumn("node", F.lit(1)).withColumn("keys", F.lit(2)).withColumn("text_key", F.lit(3))).count() == odd.count()
+
+
+def test_bagminhash_loses_no_link(spark):
+    """All pairs of many edits around the threshold."""
+    r = random.Random(4)
+    rows = []
+    for base in range(12):
+        for _ in range(25):
+            w = prose(base, 60 + 20 * (base % 3)).split()
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), "en", "a"))
+    got = {}
+    for row in op3.near_duplicates(table(spark, rows)).collect():
+        got.setdefault(row.class_id, []).append(row.doc_id)
+    assert sorted(sorted(g, key=str) for g in got.values()) == brute_classes(rows)
 
 
 def test_bagminhash_is_unbiased():
@@ -215,6 +321,9 @@ def test_mixing(spark, odd, empty):
         assert math.isclose(target[s], want[s]) and taken[s] == math.floor(want[s])
     assert sorted(out) == sorted(op5.mixed(table(spark, rows).repartition(5), block=64)[0].collect())
     assert op5.mixed(odd)[0].count() == odd.count()
+    equal = table(spark, [(None, prose(k, 20), "en", "a") for k in range(300)] + [(5, prose(1, 9), "en", "b")] * 40 + [(None, None, None, None)] * 20)
+    got = op5.mixed(equal.withColumn("src", F.lit(1)).withColumn("key", F.lit(2)).withColumn("size", F.lit(3)), block=64)[0].collect()
+    assert len(got) == 360 and sum(x.taken for x in got if x.source == "a") == math.floor(max(x.target for x in got if x.source == "a"))
     assert op5.mixed(empty)[0].count() == 0
 
 
@@ -393,6 +502,37 @@ def test_shards(spark, odd, empty):
     assert op9.shuffle_shards(empty).count() == 0
 
 
+def test_shards_split_equal_rows(spark):
+    """Half of all rows are equal; buckets stay small, and all rows are there."""
+    rows = [(None, "the same text " * 20, "en", "a")] * 2000 + [(i, prose(i, 30), "en", "a") for i in range(2000)]
+    docs = table(spark, rows).repartition(6)
+    out = op9.shuffle_shards(docs.withColumn("_place", F.lit(1)).withColumn("b", F.lit(2)), bucket_bytes=20_000)
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, *_ in rows)
+    per = Counter(r.shard for r in got)
+    assert max(per.values()) - min(per.values()) <= 1
+    same = Counter(r.shard for r in got if r.doc_id is None)
+    assert min(same.values()) > 40  # spread over all shards, not in one
+    again = op9.digest(op9.shuffle_shards(docs.repartition(3), bucket_bytes=20_000)).collect()
+    assert Counter(op9.digest(out).collect()) == Counter(again)
+
+
+def test_shards_against_brute_force(spark):
+    """The order is that of buckets of hashes; within a bucket it is Spark's seeded shuffle of the rows in order."""
+    rows = [(i, prose(i, i % 40), "en", "a") for i in range(300)]
+    docs = table(spark, rows)
+    out = op9.shuffle_shards(docs, shards=7, bucket_bytes=3_000)
+    draw = F.xxhash64(F.lit(op9.SEED), F.col("doc_id"), F.crc32(F.col("text").cast("binary")))
+    size = sum(len(t.encode()) + 8 for _, t, *_ in rows)
+    buckets = math.ceil(size / 3_000)
+    placed = {r.doc_id: (r.d % op9.LEAST_CELLS) * buckets // op9.LEAST_CELLS for r in docs.select("doc_id", draw.alias("d")).collect()}
+    order = sorted(out.collect(), key=lambda r: (r.shard, r.slot))
+    assert [placed[r.doc_id] for r in order] == sorted(placed.values())
+    assert [r.shard for r in order] == [p * 7 // 300 for p in range(300)]
+    inside = [[r.doc_id for r in order if placed[r.doc_id] == b] for b in range(buckets)]
+    assert sum(x == sorted(x) for x in inside) < buckets / 2  # shuffled
+
+
 def brute_lines(rows):
     key = lambda x: x.strip(b" \t\n\v\f\r").lower()
     holders: dict = {}

@@ -70,7 +70,8 @@ def copies(docs):
     out = Counter()
     for s in by:
         at, goal = 0, math.floor(target[s])
-        for i in sorted((i for i in docs if docs[i][1] == s), key=lambda i: (hashlib.md5(f"20240607:{i}".encode()).hexdigest(), i)):
+        place = lambda i: hashlib.md5(f"20240607:{i}:{hashlib.md5((docs[i][0] or '').encode()).hexdigest()}".encode()).hexdigest()
+        for i in sorted((i for i in docs if docs[i][1] == s), key=lambda i: (place(i), i)):
             taken = goal // by[s] * size[i] + max(0, min(at + size[i], goal % by[s]) - at)
             at += size[i]
             out[i] = -(-taken // size[i])
@@ -93,6 +94,28 @@ def test_stages_against_brute_force(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "mixing", "sharding"]
 
 
+def test_rows_that_share_an_id(spark, sf):
+    """Which rows stay is decided by row, not by id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key int, _id int, _copies int"
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "ABCD"}
+    docs = lambda *rows: spark.createDataFrame([(i, text.get(t, t), "en", "a", 1, 77, 78, 79) for i, t in rows], schema)
+    rows = lambda df: Counter((r.doc_id, next((k for k, v in text.items() if v == r.text), r.text)) for r in df.collect())
+    dedup = lambda *r: rows(corpus_pipeline.near_dedup(spark, docs(*r), sf))
+    assert dedup((3, "B"), (8, "A"), (8, "B")) == {(3, "B"): 1, (8, "A"): 1}
+    assert dedup((5, "B"), (None, "A"), (None, "B")) == {(None, "B"): 1, (None, "A"): 1}
+    near = text["A"].replace("A29", "x")
+    assert sum(dedup((8, "A"), (8, near), (8, "A"), (9, "C")).values()) == 2
+    assert dedup((1, ""), (1, ""), (1, None), (2, " \n")) == {(1, ""): 2, (1, None): 1, (2, " \n"): 1}
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    clean = lambda *r: rows(corpus_pipeline.decontamination(spark, docs(*r), sf))
+    assert clean((None, item), (None, "A"), (6, item), (6, "B"), (5, "C"), (None, None)) == {(None, "A"): 1, (6, "B"): 1, (5, "C"): 1, (None, None): 1}
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.mixing):
+        out = stage(spark, docs((1, "A"), (1, "B"), (None, "C"), (None, "D")), sf)
+        assert all((r._key, r._id, r._copies) == (77, 78, 79) for r in out.collect()) and out.count() == 4
+    mixed = rows(corpus_pipeline.mixing(spark, docs(*[(1, "A")] * 3, (1, "B"), (None, "C")), sf))
+    assert mixed == {(1, "A"): 3, (1, "B"): 1, (None, "C"): 1}
+
+
 def test_stages_on_odd_rows(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     prose = "the quick brown fox jumps over the lazy dog and runs to the river for a drink of water"
