@@ -6,11 +6,11 @@ read again for the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm import op01_templates, op03_bagminhash, op05_mixing, op06_quality, op09_shards
-from rillflow.llm.common import fresh_path, materialize, table, tuned
+from rillflow.llm.common import free_names, fresh_path, materialize, table, text_key, tuned
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,30 +19,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least doc_id of each class of near duplicates (one, should several rows have it)."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))  # stands for a null id
-    classes = op03_bagminhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = materialize(classes.groupBy(key.alias("_key")).agg(F.count("*").alias("_rows")), "survivors")
-    again = not first.where("_rows > 1").isEmpty()
-    # the same plan at every size: both sides are dealt by the id
-    held = docs.withColumn("_key", key).join(first.select("_key").hint("merge"), "_key", "left_semi")
-    return (held.dropDuplicates(["_key", "text"]) if again else held).select(*docs.columns)
+    """Keeps one row of each class of near duplicates: one of those with the least doc_id (null before all others). Rows without a word
+    are in no class and stay."""
+    i, k, w = free_names(docs.columns, "id", "key", "words")
+    found = op03_bagminhash.near_duplicates(docs).where("class_key is not null")
+    # a null id sorts first
+    first = materialize(found.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select(F.col("s.doc_id").alias("a"), F.col("s.text_key").alias("b")), "survivors")
+    first = first.select(F.coalesce("a", F.lit(-(2**63))).alias(i), F.col("b").alias(k))
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    held = docs.withColumn(i, F.coalesce("doc_id", F.lit(-(2**63)))).withColumn(k, text_key()).withColumn(w, words)
+    # the same plan at every size: both sides are dealt by id and text, and rows equal in both are met in one place
+    kept = held.where(F.col(w)).join(first.hint("merge"), [i, k], "left_semi").dropDuplicates([i, k])
+    return kept.unionByName(held.where(~F.col(w))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that hold a benchmark item, its slots filled in anew or not."""
+    """Drops the rows that hold a benchmark item, its slots filled in anew or not. Other rows with their id stay."""
+    i, k, t = free_names(docs.columns, "id", "key", "text_key")
     found = op01_templates.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = materialize(found.select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct(), "contaminated")
+    held = docs.withColumn(t, text_key())
+    return held.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(t) == F.col(k)), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of a row as the mix takes of its words: whole copies, and one more if the mix takes a part of one."""
+    """As many copies of a row as the mix takes of its words: whole copies, and one more if the mix takes a part of one. Rows equal in
+    doc_id, text and source share their copies out evenly."""
     per_doc = op05_mixing.mixed(docs)[0]
-    copies = per_doc.where("taken > 0").groupBy("doc_id").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_n"), F.count("*").alias("_rows"))
-    copies = materialize(copies.select(F.col("doc_id").alias("_id"), F.ceil(F.col("_n") / F.col("_rows")).cast("int").alias("_n")), "copies")
-    held = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    i, k, s, n, r, c = free_names(docs.columns, "id", "key", "source", "copies", "rank", "copy")
+    by = ("doc_id", "text_md5", "source")
+    copies = per_doc.groupBy(*by).agg(F.sum(F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)).alias("n"), F.count("*").alias("rows")).where("n > 0")
+    copies = materialize(copies, "copies").select(F.coalesce("doc_id", F.lit(-(2**63))).alias(i), F.col("text_md5").alias(k), F.coalesce("source", F.lit("\0")).alias(s), F.col("n").alias(n), F.col("rows").alias(r))
+    text_md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    held = docs.withColumn(i, F.coalesce("doc_id", F.lit(-(2**63)))).withColumn(k, text_md5).withColumn(s, F.coalesce("source", F.lit("\0")))
+    met = held.join(copies.hint("merge"), [i, k, s])
+    # of n copies of R equal rows the k-th has (n + R - k) div R
+    at = F.row_number().over(Window.partitionBy(i, k, s).orderBy(i))
+    own = met.withColumn(c, at).withColumn(c, F.expr(f"({n} + {r} - {c}) div {r}").cast("int")).where(F.col(c) > 0)
+    return own.withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*[f"`{x}`" for x in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
