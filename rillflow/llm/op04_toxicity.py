@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
 1. Lexicons: over all labelled training rows, the documents of either class that hold a word or a prefix of one; what
-   is LOG_ODDS likelier in toxic ones, in MIN_DOCS of them or more, is in the lexicon of its kind. Counted by key, so no row is passed over, and a lexicon
-   has as many entries as pass. Up to BROADCAST_ENTRIES go to every task; beyond, the features of the documents are shuffle-joined with them.
-2. Voters: lexicon and pattern voters say toxic, clean or nothing on every document; a gold label of a training row
-   is one more voter. Votes are grouped by pattern, at most 3 ** voters groups whatever the input.
-3. A generative label model, fitted by EM on the pattern counts, estimates how often each voter says what in either
-   class, and then the correlation of each two voters within a class; a voter's weight is 1 / (1 + its positive correlations).
-4. A logistic regression on the voters' counts is fitted to the posterior labels of at most SAMPLE labelled training
-   rows, chosen by hash, and scores every row inside the JVM.
+   is LOG_ODDS likelier in toxic ones, in MIN_DOCS of them or more, is in the lexicon of its kind. Counted by key, so no row is passed
+   over, and a lexicon has as many entries as pass. Up to BROADCAST_ENTRIES go to every task; beyond, the features of the
+   documents are shuffle-joined with them. Labelled texts are found by a bitmap of the labels' ids, of bounded size, and joined by shuffle.
+2. Voters: lexicon and pattern voters say toxic, clean or nothing on every training document, labelled or not; a label is no voter.
+   Votes are grouped by pattern, at most 3 ** voters groups whatever the input.
+3. A generative label model, fitted by EM on the pattern counts: in each class a voter's vote depends on one other voter's at
+   most, by the tree of the pairs with the most mutual information within the classes (above LINKED), so that voters
+   that repeat each other don't count twice. The share of toxic documents is that of the labels.
+4. A logistic regression on the voters' counts is fitted to the model's posterior labels of at most SAMPLE training
+   rows, chosen by hash, labelled or not, and scores every row inside the JVM.
 
 Words are runs of ASCII letters and digits and non-ASCII bytes, A-Z lower-cased. Null and empty texts get the score of
 a text in which nothing is found. labels, lang, source and doc_id are no inputs of a score. Without any training label the
-built-in lexicon alone speaks. A doc_id with several labels is toxic if any of them is; repeated rows are scored each.
+built-in lexicon alone speaks. A doc_id with several labels is toxic if any of them is; repeated rows are scored each; null ids
+have no label. Empty tables give empty ones. Columns other than those named aren't read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import U64, as_bytes, batches, buffer_of, crc_mod, materialize, mix, span_hashes, table, tuned
+from rillflow.llm.common import U64, as_bytes, batches, bitmap_of, buffer_of, crc_mod, in_bitmap, materialize, mix, span_hashes, table, tuned
 
 #: A small English list of insults, known before any label.
 INSULTS = "idiot stupid moron dumb loser scum trash pathetic worthless disgusting".split()
 PREFIXES = (4, 5, 6, 7, 8)
 LOG_ODDS, MIN_DOCS = 2.0, 5
-SAMPLE = 20_000
-BROADCAST_ROWS, BROADCAST_ENTRIES = 2_000_000, 500_000
+SAMPLE, LINKED = 20_000, 0.02
+BROADCAST_ENTRIES = 500_000
 THRESHOLD = 0.3
 _INK = np.zeros(256, bool)
 _INK[48:58] = _INK[65:91] = _INK[97:123] = _INK[128:] = True
@@ -182,33 +185,52 @@ def votes(c: dict[str, Column]) -> list[Column]:
     return found
 
 
-def label_model(patterns: np.ndarray, n: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spanning_tree(joint: np.ndarray, size: np.ndarray) -> list[int]:
+    """The parent of each voter (-1: none) in the forest of pairs with the most mutual information given the class: joint is
+    classes x voters x voters x votes x votes, size the classes' weights."""
+    v = joint.shape[1]
+    marginal = np.einsum("ciikk->cik", joint)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = joint * np.log(joint / (marginal[:, :, None, :, None] * marginal[:, None, :, None, :]))
+    info = np.einsum("c,cij->ij", size / size.sum(), np.nan_to_num(gain).sum(axis=(3, 4)))
+    parent, reach, best, left = [-1] * v, np.full(v, -1), np.full(v, -np.inf), set(range(v))
+    while left:
+        k = max(sorted(left), key=lambda i: best[i])
+        left.discard(k)
+        if best[k] > LINKED:
+            parent[k] = int(reach[k])
+        for j in left:
+            if info[k, j] > best[j]:
+                best[j], reach[j] = info[k, j], k
+    return parent
+
+
+def label_model(patterns: np.ndarray, n: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """EM on vote patterns (rows of 0, 1, 2) seen n times. Returns (posterior of each pattern, P(vote | class) as voters x 3
-    x 2, weights of the voters)."""
+    x 2, the parent of each voter in the tree of dependences). The tree is sought anew every ten rounds; votes are
+    smoothed by half an observation, dependences by five towards independence."""
     v = patterns.shape[1]
     one = np.eye(3)[patterns]  # patterns x voters x votes
     start = (patterns == 2).sum(1) - (patterns == 1).sum(1)
     q = np.where(start > 0, 0.9, 0.02)
-    weight = np.ones(v)
+    parent = [-1] * v
     for turn in range(rounds):
-        w1, w0 = n * q, n * (1 - q)
-        theta = np.stack([np.einsum("p,pvk->vk", w, one) + 0.5 for w in (w0, w1)], axis=2)
-        theta /= theta.sum(axis=1, keepdims=True)
-        if turn == rounds - 10:  # correlations within the classes, then on with weighted votes
-            rho = np.zeros((v, v))
-            x = (patterns == 2).astype(float) - (patterns == 1)
-            for w in (w0, w1):
-                if w.sum() > 1:
-                    d = x - np.average(x, axis=0, weights=w)
-                    cov = np.einsum("p,pi,pj->ij", w, d, d) / w.sum()
-                    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                    rho += w.sum() / n.sum() * np.maximum(cov / np.outer(sd, sd) * (np.outer(sd, sd) > 1e-6), 0)
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + rho.sum(axis=1))
-            weight[-1] = 1.0  # a gold label speaks for itself
-        log = np.einsum("pvk,vk,v->p", one, np.log(theta[:, :, 1]) - np.log(theta[:, :, 0]), weight)
-        q = 1 / (1 + np.exp(-np.clip(log + np.log(prior / (1 - prior)), -30, 30)))
-    return q, theta, weight
+        weights = np.stack([n * (1 - q), n * q])
+        size = weights.sum(axis=1)
+        theta = (np.einsum("cp,pvk->cvk", weights, one) + 0.5) / (size + 1.5)[:, None, None]
+        joint = np.stack([np.einsum("p,pik,pjl->ijkl", w, one, one, optimize=True) for w in weights])
+        if turn and turn % 10 == 0:
+            parent = spanning_tree(joint / np.maximum(size, 1e-9)[:, None, None, None, None], size)
+        log = np.zeros((2, len(patterns)))
+        for j in range(v):
+            if parent[j] < 0:
+                log += np.log(theta[:, j, patterns[:, j]])
+            else:
+                pair = joint[:, parent[j], j]  # classes x the parent's vote x own vote
+                given = (pair + 5 * theta[:, j, None, :]) / (pair.sum(axis=2, keepdims=True) + 5)
+                log += np.log(given[:, patterns[:, parent[j]], patterns[:, j]])
+        q = 1 / (1 + np.exp(-np.clip(log[1] - log[0] + np.log(prior / (1 - prior)), -30, 30)))
+    return q, theta.transpose(1, 2, 0), parent
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
@@ -240,10 +262,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[DataFra
     tuned(docs.sparkSession)
     named = docs.select("doc_id", (~train).alias("held_out"), "text")
     gold = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    gold = materialize(gold, "gold")
-    few = gold.count() <= BROADCAST_ROWS
-    text = as_bytes(named, "doc_id", "held_out").where(~F.col("held_out"))
-    labelled = text.join(F.broadcast(gold) if few else gold, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
+    gold = materialize(gold.where("label_id is not null"), "gold")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(gold.select(F.xxhash64("label_id").alias("h")), "h", gold.count()))  # BITMAP_BITS at most
+
+    def maybe(it):
+        for b in it:
+            yield b.filter(pa.array(in_bitmap(sent.value, b.column(0).to_numpy()))).select([1, 2])
+
+    text = as_bytes(named.where(~F.col("held_out")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text"), "h", "doc_id")
+    some = text.mapInArrow(maybe, "doc_id long, text binary")
+    # the same plan at every size: labelled texts and labels are dealt by id
+    labelled = some.join(gold.hint("merge"), F.col("doc_id") == F.col("label_id")).select("toxic", "text")
     lex = lexicons(labelled)
 
     def run(it):
@@ -255,18 +284,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[DataFra
     counts = joined_counts(text, lex) if "entries" in lex else text.mapInArrow(run, "doc_id long, held_out boolean, " + ", ".join(f"{k} double" for k in COUNTS))
     counts = materialize(counts, "counts")
     c = {k: F.col(k) for k in COUNTS}
-    known = counts.join(gold, counts["doc_id"] == gold["label_id"], "left").where(~F.col("held_out"))
-    vote = F.array(*votes(c), F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, 1).otherwise(0))
-    by = known.groupBy(vote.alias("v")).count().collect()
+    known = counts.where(~F.col("held_out"))
+    vote = F.array(*votes(c))
+    by = known.groupBy(vote.alias("v")).count().collect()  # 3 ** voters rows at most
     weights = np.zeros(len(inputs(c)))
     learned = {"lexicon": lex, "patterns": len(by)}
     if by:
         patterns, n = np.array([r.v for r in by]), np.array([r["count"] for r in by], float)
-        q, theta, w = label_model(patterns, n, lex["prior"])
-        learned |= {"theta": theta, "voter_weights": w}
+        q, theta, parent = label_model(patterns, n, lex["prior"])
+        learned |= {"theta": theta, "parents": parent}
         posterior = {tuple(p): float(x) for p, x in zip(patterns.tolist(), q, strict=True)}
-        chosen = known.where("toxic is not null").orderBy(F.xxhash64(F.lit(4), "doc_id"), *COUNTS).limit(SAMPLE)
-        rows = (chosen if not chosen.isEmpty() else known.orderBy(F.xxhash64(F.lit(4), "doc_id"), *COUNTS).limit(SAMPLE)).select(vote.alias("v"), F.array(*inputs(c)).alias("x")).collect()
+        rows = known.orderBy(F.xxhash64(F.lit(4), "doc_id", *COUNTS), *COUNTS).limit(SAMPLE).select(vote.alias("v"), F.array(*inputs(c)).alias("x")).collect()
         weights = logistic(np.array([r.x for r in rows]), np.array([posterior[tuple(r.v)] for r in rows]))
     learned["weights"] = weights
     z = sum((F.lit(float(w)) * x for w, x in zip(weights, inputs(c), strict=True)), F.lit(0.0))
