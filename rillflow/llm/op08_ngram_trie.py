@@ -188,7 +188,9 @@ class Level:
 
     def each(self, shard: np.ndarray):
         """(number, positions, arrays, sequences) of every shard that is asked for and has entries."""
-        if len(shard) and (shard[1:] >= shard[:-1]).all():
+        if not len(shard):
+            return
+        if (shard[1:] >= shard[:-1]).all():
             order, ranked = np.arange(len(shard)), shard
         else:
             order = np.argsort(shard, kind="stable")
@@ -445,7 +447,7 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[dict]:
 
     def level(keys, shard_of, merge, folder, shards):
         deal = texts.mapInArrow(lambda it: dealt(it, keys, shard_of), SHARDED)
-        return stored(deal.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, CODED), shards, folder)
+        return stored(deal.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(merge, CODED), shards, folder)
 
     f1, f2, f3 = (shared_folder(spark, k) for k in "123")
     one = level(lambda c: tokens(c)[0], lambda k: by_range(k, bits), lambda t: merge_words(t, f1, much), f1, 1 << bits)
