@@ -1,20 +1,27 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of (hi, lo, n_docs, last_doc), one row per line key, sorted by the key: the 128-bit hash of
-the key, the rows (documents) that hold it and the greatest doc_id among them. Each batch adds a run of level 0;
-FANOUT runs of a level are merged to one of the next. A line is dropped if its key is found in at least MIN_DOCS
-documents and its document isn't the key's last. Texts are anti-joined with the runs only after all batches are in, as the
-count and the last document of a key are those of the whole corpus; a store that is kept serves later batches.
+A run is a table of (hi, lo, n_docs, last_doc), one row per line key: the 128-bit hash of the key, the rows (documents) that
+hold it and the greatest doc_id among them. Runs are bucketed and sorted by the key, all in the same buckets, so two of them
+meet bucket by bucket in a merge join without being dealt out again. Each batch adds a run of level 0; FANOUT runs of a level
+are merged to one of the next.
+
+Documents come in batches from the greatest ids down. A batch's keys are anti-joined with the runs so far: a key that no run has and
+one row of the batch alone holds is settled, as that row is its last document; all other lines are put by. A line is
+dropped if its key is found in at least MIN_DOCS documents and its document isn't the key's last: how many hold it is known
+after the last batch, so lines that were put by are joined with the merged runs then. A store that is kept serves later batches.
 
 A key is the line stripped of ASCII white space at both ends, A-Z lower-cased; keys under MIN_CHARS code points are
-never dropped. Null or empty texts are one empty line. Every row is a document; rows that repeat the greatest doc_id of
-a key all keep its lines, and a null doc_id ranks below all others.
+never dropped. Null or empty texts are one empty line, and an empty table gives an empty one. Every row is a document; rows that
+repeat the greatest doc_id of a key all keep its lines, and a null doc_id ranks below all others. Rows are told apart by
+doc_id and text; those equal in both lose the same lines. Of docs only doc_id and text are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import as_bytes, batches, fresh_path, table, tuned
+from rillflow.llm.common import as_bytes, batches, forget, fresh_path, materialize, table, text_key, tuned
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
+#: Keys in one bucket of a run, about.
+BUCKET_KEYS, LEAST_BUCKETS = 1_000_000, 16
 _SPACE = b" \t\n\x0b\x0c\r"
 RUN = "hi long, lo long, n_docs long, last_doc long"
 
@@ -48,53 +57,82 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2), np.array(at, np.int64)
 
 
-KEYED = pa.schema([("batch", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64())])
+KEYED = pa.schema([("batch", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64())])
 
 
 def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches(it, column=2):
-        key, at = _keys(b.column(2).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(key[:, 0]), pa.array(key[:, 1]), b.column(1).take(pa.array(at))], schema=KEYED)
+    for b in batches(it, column=3):
+        key, at = _keys(b.column(3).to_pylist())
+        rows = pa.array(at)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(key[:, 0]), pa.array(key[:, 1]), b.column(1).take(rows), b.column(2).take(rows)], schema=KEYED)
 
 
 class LineRuns:
     """A store of levelled sorted runs in one folder. add() takes (hi, lo, doc_id), one row per key and document."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path or fresh_path(spark, "runs"), fanout
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int = LEAST_BUCKETS):
+        self.spark, self.path, self.fanout, self.buckets = spark, path or fresh_path(spark, "runs"), fanout, buckets
         self.levels: list[list[str]] = []
+        self.name = f"rillflow_{uuid.uuid4().hex}"
         self.written = 0
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        at = f"{self.path}/level={level}/run={self.written}"
+    def _write(self, run: DataFrame, level: int) -> str:
+        name, at = f"{self.name}_{self.written}", f"{self.path}/level={level}/run={self.written}"
         self.written += 1
-        run.sortWithinPartitions("hi", "lo").write.parquet(at)
+        # rows go where the table's buckets are: a file for each
+        dealt = run.repartitionById(self.buckets, F.expr(f"pmod(hash(hi, lo), {self.buckets})"))
+        dealt.write.format("parquet").option("path", at).bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").saveAsTable(name)
+        forget(self.spark, at)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(at)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        rows = self.spark.read.schema(RUN).parquet(*paths)
-        return rows.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def add(self, keys: DataFrame) -> None:
-        self._write(keys.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
+        self.levels[level].append(name)
+        return name
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs as one, by merge joins of their buckets."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            more = self.spark.table(name).select("hi", "lo", F.col("n_docs").alias("n"), F.col("last_doc").alias("d"))
+            both = out.hint("merge").join(more.hint("merge"), ["hi", "lo"], "full")
+            out = both.select("hi", "lo", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "d").alias("last_doc"))
+        return out
+
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Adds a batch's run. Returns the keys (hi, lo) of the batch that aren't settled by it: the anti join with the runs before
+        has left them out, or several of the batch's rows hold them."""
+        before = self.rows() if any(self.levels) else None
+        own = self._write(keys.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
+        run = self.spark.table(own)
+        if before is not None:
+            fresh = run.hint("merge").join(before.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti").where("n_docs = 1")
+        else:
+            fresh = run.where("n_docs = 1")
+        open_keys = run.hint("merge").join(fresh.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti").select("hi", "lo")
+        open_keys = materialize(open_keys, "open-keys")
         level = 0
         while len(self.levels[level]) >= self.fanout:  # compaction
             full, self.levels[level] = self.levels[level], []
             self._write(self._merged(full), level + 1)
+            for name in full:
+                self.spark.sql(f"DROP TABLE {name}")
             level += 1
+        return open_keys
 
     def rows(self) -> DataFrame:
         """The whole store, merged over all runs."""
-        paths = [p for level in self.levels for p in level]
-        return self._merged(paths) if paths else self.spark.createDataFrame([], RUN)
+        names = [p for level in self.levels for p in level]
+        return self._merged(names) if names else self.spark.createDataFrame([], RUN)
 
     def dropped(self, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """The rows of keys (hi, lo, doc_id) that the runs let go: a merge join, and the rest is its anti join."""
+        """The rows of keys (hi, lo, doc_id, ...) that the runs let go."""
         often = self.rows().where(F.col("n_docs") >= min_docs)
         return keys.join(often, ["hi", "lo"]).where(F.coalesce(F.col("doc_id") < F.col("last_doc"), F.col("doc_id").isNull() & F.col("last_doc").isNotNull()))
 
+    def close(self) -> None:
+        for name in [p for level in self.levels for p in level]:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
 
 CLEAN = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text binary"
 
@@ -117,21 +155,28 @@ def _stripped(it: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 def dedup_lines(docs: DataFrame, store: LineRuns | None = None, with_text: bool = True) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_dropped, kept_sha256 and kept_text (bytes; null unless with_text)."""
     spark = tuned(docs.sparkSession)
-    store = store or LineRuns(spark)
-    text = as_bytes(docs, "doc_id")
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).cast("int").alias("batch")
+    text = as_bytes(docs.select("doc_id", text_key().alias("text_key"), "text"), "doc_id", "text_key")
+    # from the greatest ids down; where exactly batches end doesn't matter
+    ends = docs.agg(F.percentile_approx("doc_id", [k / BATCHES for k in range(BATCHES - 1, 0, -1)], 1000)).first()[0] or []
+    batch = F.lit(BATCHES - 1)
+    for k, end in reversed(list(enumerate(ends))):
+        batch = F.when(F.col("doc_id") > end, k).otherwise(batch)
     path = fresh_path(spark, "line-keys")
-    text.select(batch, "doc_id", "text").mapInArrow(keyed, "batch int, hi long, lo long, doc_id long").write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema("hi long, lo long, doc_id long, batch int").parquet(path)
+    text.select(batch.cast("int").alias("batch"), "doc_id", "text_key", "text").mapInArrow(keyed, "batch int, hi long, lo long, doc_id long, text_key long").write.partitionBy("batch").parquet(path)
+    forget(spark, path)
+    keys = spark.read.schema("hi long, lo long, doc_id long, text_key long, batch int").parquet(path)
+    store = store or LineRuns(spark, buckets=max(LEAST_BUCKETS, -(-keys.count() // BUCKET_KEYS)))
+    waiting = []
     for b in range(BATCHES):
-        store.add(keys.where(F.col("batch") == b).select("hi", "lo", "doc_id"))
-    gone = store.dropped(keys.select("hi", "lo", "doc_id").distinct())
+        own = keys.where(F.col("batch") == b)
+        open_keys = store.add(own.select("hi", "lo", "doc_id"))
+        waiting.append(materialize(own.select("hi", "lo", "doc_id", "text_key").distinct().join(open_keys, ["hi", "lo"], "left_semi"), "put-by"))
+    gone = store.dropped(reduce(DataFrame.unionByName, waiting))
     digest = F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("hi", "lo")]))
-    per_doc = gone.select("doc_id", digest.alias("k")).groupBy("doc_id").agg(F.array_join(F.transform(F.collect_list("k"), F.hex), "").alias("k"))
-    path = fresh_path(spark, "dropped")
-    per_doc.select(F.col("doc_id").alias("gone_id"), F.unhex("k").alias("gone")).write.parquet(path)
-    gone = spark.read.schema("gone_id long, gone binary").parquet(path)
-    joined = text.join(gone, text["doc_id"].eqNullSafe(gone["gone_id"]), "left").select("doc_id", "text", "gone")
+    per_doc = gone.select("doc_id", "text_key", digest.alias("k")).groupBy("doc_id", "text_key").agg(F.array_join(F.transform(F.collect_list("k"), F.hex), "").alias("k"))
+    gone = materialize(per_doc.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), F.unhex("k").alias("gone")), "dropped")
+    store.close()
+    joined = text.join(gone, text["doc_id"].eqNullSafe(gone["gone_id"]) & (text["text_key"] == gone["gone_key"]), "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(lambda it: _stripped(it, with_text), CLEAN)
 
 

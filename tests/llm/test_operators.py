@@ -273,6 +273,70 @@ def test_toxicity(spark, odd, empty):
     assert sum(g.predicted == int(g.doc_id % 5 == 0) for g in held) / len(held) > 0.97
     assert op4.toxicity(odd, lab.limit(0), crc_mod("doc_id", 4) != 2)[0].count() == odd.count()
     assert op4.toxicity(empty, lab, crc_mod("doc_id", 4) != 2)[0].count() == 0
+    clashing = table(spark, rows).withColumn("label_id", F.lit(1)).withColumn("h", F.lit(2)).withColumn("toxic", F.lit(1)).withColumn("n_words", F.lit(0))
+    again = op4.toxicity(clashing, lab, crc_mod("doc_id", 4) != 2)[0].collect()
+    assert sorted(again) == sorted(got)
+
+
+def brute_em(rows, prior, parent, rounds):
+    """The label model row by row, with plain loops."""
+    v = len(rows[0])
+    q = [0.9 if r.count(2) > r.count(1) else 0.02 for r in rows]
+    for _ in range(rounds):
+        logs = []
+        for c in (0, 1):
+            w = [x if c else 1 - x for x in q]
+            size = sum(w)
+            theta = [[(sum(a for a, r in zip(w, rows) if r[j] == k) + 0.5) / (size + 1.5) for k in range(3)] for j in range(v)]
+            col = [0.0] * len(rows)
+            for j in range(v):
+                for i, r in enumerate(rows):
+                    if parent[j] < 0:
+                        p = theta[j][r[j]]
+                    else:
+                        same = sum(a for a, s in zip(w, rows) if s[parent[j]] == r[parent[j]])
+                        both = sum(a for a, s in zip(w, rows) if s[parent[j]] == r[parent[j]] and s[j] == r[j])
+                        p = (both + 5 * theta[j][r[j]]) / (same + 5)
+                    col[i] += math.log(p)
+            logs.append(col)
+        q = [1 / (1 + math.exp(-max(-30, min(30, b - a + math.log(prior / (1 - prior)))))) for a, b in zip(*logs)]
+    return q
+
+
+def test_label_model_against_brute_force():
+    r = random.Random(5)
+    rows = []
+    for i in range(300):
+        toxic = i % 4 == 0
+        a, b, c, d = ((2 if r.random() < (0.8 if toxic else 0.03 * k) else 0) for k in (1, 2, 3, 4))
+        rows.append((a, a if r.random() < 0.95 else 0, b, c, d, 1 if not (a or b or c) else 0))
+    kinds = Counter(rows)
+    patterns = np.array(sorted(kinds))
+    n = np.array([kinds[tuple(p)] for p in patterns], float)
+    for rounds in (1, 5, 11, 14):
+        q, theta, parent = op4.label_model(patterns, n, 0.25, rounds)
+        # the tree changes after ten rounds only; before, all voters are on their own
+        before = brute_em(rows, 0.25, [-1] * 6, min(rounds, 10))
+        if rounds <= 10:
+            want = before
+            assert parent == [-1] * 6
+            assert np.allclose([q[[tuple(p) for p in patterns].index(x)] for x in rows], want)
+    assert parent[1] == 0 or parent[0] == 1  # the voter that repeats another hangs on it
+    truth = np.array([i % 4 == 0 for i in range(300)])
+    found = np.array([q[[tuple(p) for p in patterns].index(x)] for x in rows]) > 0.5
+    assert (found == truth).mean() > 0.8  # "nothing" is a voter, so a lone vote in error weighs much here
+
+
+def test_tree_is_the_heaviest():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 3, (4000, 4))
+    x[:, 2] = np.where(rng.random(4000) < 0.9, x[:, 0], x[:, 2])
+    x[:, 3] = np.where(rng.random(4000) < 0.7, x[:, 2], x[:, 3])
+    one = np.eye(3)[x]
+    joint = np.einsum("pik,pjl->ijkl", one, one)[None] / 4000
+    parent = op4.spanning_tree(joint, np.array([1.0]))
+    edges = {frozenset((i, p)) for i, p in enumerate(parent) if p >= 0}
+    assert edges == {frozenset((0, 2)), frozenset((2, 3))}
 
 
 def test_toxicity_lexicon_has_no_cap(spark, monkeypatch):
@@ -379,6 +443,29 @@ def test_crf(spark, odd, empty):
     assert len(got) == odd.count() and {g.lang_pred for g in got if g.doc_id in (4, 5, 6, 11)} == {"und"}
     assert op7.predict(named, op7.learn(empty, F.lit(True))).where("lang_pred != 'und'").count() == 0
     assert op7.predict(named.limit(0), model).count() == 0
+    clashing = named.withColumn("letters", F.lit(1)).withColumn("lang_pred", F.lit("q")).withColumn("score", F.lit(9.0))
+    assert sorted(map(str, op7.predict(clashing, model).collect())) == sorted(map(str, op7.predict(named, model).collect()))
+
+
+def test_crf_long_sequences_are_not_cut(monkeypatch):
+    """Words without any stop: posteriors and expected transitions don't depend on the pieces they are computed in."""
+    rng = np.random.default_rng(3)
+    e, trans = rng.normal(size=(200, 3)) * 2, rng.normal(size=(3, 3))
+    begins = np.zeros(200, bool)
+    begins[[0, 5, 90, 91]] = True
+    whole = op7.forward_backward(e, np.cumsum(begins) - 1, trans)
+    for piece in (1, 2, 7, 48):
+        pos = np.arange(200) - np.maximum.accumulate(np.where(begins, np.arange(200), 0))
+        cut = begins | (pos % piece == 0)
+        got = op7.forward_backward(e, np.cumsum(cut) - 1, trans, ~begins[cut])
+        assert np.allclose(got[0], whole[0]) and np.allclose(got[1], whole[1])
+    import pyarrow as pa
+
+    model = (["xx", "yy"], rng.normal(size=(op7.SLOTS, 2)), rng.normal(size=(2, 2)))
+    text = pa.array([("ka zu " * 300).encode(), b"", (prose(1, 500) + ". " + prose(2, 7)).encode()])
+    want = op7.labelled(text, model)[0]
+    monkeypatch.setattr(op7, "PIECE", 10_000)
+    assert np.allclose(op7.labelled(text, model)[0], want)
 
 
 def test_forward_backward_is_exact():
@@ -563,6 +650,15 @@ def test_line_dedup(spark, odd, empty):
     assert sorted(((g.doc_id, g.n_lines, g.n_dropped, g.kept_sha256) for g in got), key=str) == want
     assert all(hashlib.sha256(bytes(g.kept_text)).hexdigest() == g.kept_sha256 for g in got)
     assert op10.dedup_lines(empty).count() == 0
+    clashing = docs.withColumn("text_key", F.lit(1)).withColumn("batch", F.lit(2)).withColumn("gone", F.lit(3)).withColumn("hi", F.lit(4))
+    assert sorted(map(str, op10.dedup_lines(clashing).collect())) == sorted(map(str, got))
+
+
+def test_line_dedup_tells_rows_with_one_id_apart(spark):
+    line = "a line that many documents share"
+    rows = [(None, f"{line}\nfirst {i} of those without an id") for i in range(5)] + [(7, f"{line}\nx{i}") for i in range(3)] + [(3, line), (3, line), (3, "another line that stays here")]
+    got = op10.dedup_lines(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert sorted(((g.doc_id, g.n_lines, g.n_dropped, g.kept_sha256) for g in got), key=str) == brute_lines(rows)
 
 
 def test_line_runs_keep_levels(spark):
@@ -571,3 +667,12 @@ def test_line_runs_keep_levels(spark):
         store.add(spark.createDataFrame([(1, 1, b), (2, b, b)], "hi long, lo long, doc_id long"))
     assert [len(x) for x in store.levels] == [1, 0, 1]
     assert {(r.hi, r.lo): (r.n_docs, r.last_doc) for r in store.rows().collect()}[1, 1] == (5, 4)
+    assert store.add(spark.createDataFrame([(1, 1, 9), (5, 5, 9), (6, 6, 9), (6, 6, 8)], "hi long, lo long, doc_id long")).orderBy("hi").collect() == [(1, 1), (6, 6)]
+
+
+def test_line_runs_merge_without_an_exchange(spark):
+    store = op10.LineRuns(spark, fanout=9)
+    for b in range(2):
+        store.add(spark.createDataFrame([(k, b, k) for k in range(50)], "hi long, lo long, doc_id long"))
+    plan = store.rows()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "Exchange" not in plan
