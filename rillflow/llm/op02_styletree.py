@@ -11,7 +11,9 @@ mostly links), and, where a page has an article or main element, what lies outsi
 without text, its branches stay.
 
 Text: character references decoded, white space inside a block becomes one space, blocks joined in page order by one
-space. Null html is empty; broken markup is read as far as it goes. Pages without a host in their url share the host ''.
+space. Null html is empty; broken markup is read as far as it goes, in time linear in the page. Pages without a host in their url
+share the host ''. Rows that repeat are pages of their own; importance ties with the threshold stay; an empty table gives an
+empty one; other columns than page_id, url and html aren't read.
 A host's pages are never gathered: counts are summed by (host, node, feature), and one row per node goes on.
 """
 
@@ -53,23 +55,58 @@ NOISE_WORDS = frozenset(
     "comment comments reply replies respond discussion disqus share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login register search pagination pager widget widgets copyright legal disclaimer skip toc rating ratings tags".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+OPENS = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/><]*))")
+STOPS = re.compile(r"[>\"']")
+#: Quoted values looked through for the end of one tag; beyond, it ends at its first >.
+QUOTES = 1000
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 
 
-def labelled(tag: str, attributes: str) -> tuple[str, bool]:
-    """(label, whether it names noise)."""
+def labelled(tag: str, attributes: str) -> tuple[str, bool | None]:
+    """(label, whether it names noise; None for a header that its classes say is noise even in an article)."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return tag, tag in NOISE_TAGS
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     names = re.sub(r"\d+", "", f"{found.get('class', '')} {found.get('id', '')}").split()
     noise = tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if not noise and tag not in ("body", "html"):
-        noise = any(w.lower() in NOISE_WORDS for n in names for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", n)))
+    if tag not in ("body", "html", *CORE_TAGS) and (not noise or tag == "header"):
+        # an article's own classes say what it is about; a header's, whether it is more than a header
+        said = {w.lower() for n in names for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", n))} & NOISE_WORDS
+        if tag != "header":
+            noise = bool(said)
+        elif said - {"header"}:
+            return f"{tag}.{'.'.join(sorted(names))}", None
     return f"{tag}.{'.'.join(sorted(names))}", noise
 
 
+def markup(source: str) -> Iterator[tuple[int, int, bool, str, str, str]]:
+    """(start, end, closing, tag, attributes, CDATA) of comments, declarations and tags in order, in time linear in the page: what
+    has no end is found so once, by the last place where such an end is."""
+    last = {c: source.rfind(c) for c in (">", "\"", "'", "-->", "]]>")}
+    pos = 0
+    while m := OPENS.search(source, pos):
+        start, tag = m.start(), (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = source.find("-->", m.end() - 2) + 3 if last["-->"] >= m.end() - 2 else len(source)
+            yield start, end, False, "", "", ""
+        elif m[0] == "<![CDATA[" and last["]]>"] >= m.end():
+            end = source.find("]]>", m.end()) + 3
+            yield start, end, False, "", "", source[m.end() : end - 3]
+        elif last[">"] < m.end():  # no tag ends any more
+            return
+        elif not tag:
+            end = source.find(">", m.end()) + 1
+            yield start, end, False, "", "", ""
+        else:
+            at, seen = m.end(), 0
+            while (stop := STOPS.search(source, at)) and stop[0] != ">" and last[stop[0]] > stop.start() and seen < QUOTES:
+                at, seen = source.find(stop[0], stop.end()) + 1, seen + 1
+            end = stop.end() if stop and stop[0] == ">" else source.find(">", m.end()) + 1
+            yield start, end, bool(m[1]), tag, source[m.end() : end - 1], ""
+        pos = end
+
+
 class Page:
     """The block elements of a page and its text blocks in order."""
 
@@ -85,7 +122,8 @@ class Page:
         self.parent.append(at)
         self.label.append(label)
         self.key.append(xxhash.xxh3_64_intdigest(label, seed=self.key[at]))
-        self.noise.append(noise and not (tag == "header" and self.core[at] and "." not in label) or self.noise[at])
+        # within an article a header holds its title, unless its names say otherwise
+        self.noise.append(noise is None or noise and not (tag == "header" and self.core[at]) or self.noise[at])
         self.core.append(tag in CORE_TAGS and not self.noise[-1] or self.core[at] or "main" in attributes and 'role="main"' in attributes)
         self.children.append([])
         return len(self.key) - 1
@@ -105,27 +143,25 @@ class Page:
             linked = 0
 
         unclosed: set[str] = set()
-        for m in TOKEN.finditer(source):
-            if m.start() < pos:
+        for start, end, closing, tag, attributes, data in markup(source):
+            if start < pos:
                 continue
-            if m.start() > pos:
-                piece = source[pos : m.start()]
+            if start > pos:
+                piece = source[pos:start]
                 text.append(piece)
                 if links:
                     linked += len(piece)
-            pos = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            pos = end
             if not tag:
-                if m[0].startswith("<![CDATA["):
-                    text.append(html.escape(m[0][9:-3]))
+                if data:
+                    text.append(html.escape(data))
                 continue
-            closing = bool(m[1] or m[4])
             if tag == "br" or tag == "hr":
                 text.append(" ")
             elif tag == "a":
                 links = 0 if closing else 1
             elif tag in RAW and not closing:
-                if not (m[3] or m[6] or "").endswith("/"):
+                if not attributes.endswith("/"):
                     end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
                     if not end:
                         unclosed.add(tag)  # nor is it closed further on
@@ -145,7 +181,7 @@ class Page:
                                 break
                             if tags[k] in SCOPES:
                                 break
-                    stack.append(self._open(stack[-1], tag, m[3] or m[6] or ""))
+                    stack.append(self._open(stack[-1], tag, attributes))
                     tags.append(tag)
         if pos < len(source):
             text.append(source[pos:] if not source[pos:].lstrip().startswith("<") else "")

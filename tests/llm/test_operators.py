@@ -187,6 +187,24 @@ def test_style_tree_reads_on_after_unclosed_media(spark):
     assert got[20] == "So x+y holds" and got[21] == "Shown" and got[22] == "Shown again"
 
 
+def test_style_tree_reads_hostile_pages_in_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 350_000, "<a x='" * 170_000 + ">", "<!-- " * 200_000, "<![CDATA[ " * 100_000, "<p title=\"" * 90_000, "<" * 10**6, "</" * 500_000, "<a \"" * 90_000 + ">"):
+        op2.Page(page).kept()
+    assert time.time() - began < 20
+    assert op2.Page("<article><p title='a > b'>One<p title=\"it's\">two <b class=x>bold</b> 3 < 4").kept() == ["One", "two bold 3 < 4"]
+    assert op2.Page("<p>x <![CDATA[y & z]]> <!-- no --> w</p>").kept() == ["x y & z w"]
+
+
+def test_style_tree_keeps_articles_by_any_name(spark):
+    rows = [(1, "https://d.example/1", "<article class='legal-news'><p>A ruling</article><div class=legal>no</div>"), (2, "https://d.example/2", "<main class='story-tags'><header class='post-header'><h1>Title</h1></header><p>Story</main>")]
+    rows += [(3, "https://d.example/3", "<article><header class='share-bar header'>no</header><p>Text</article>"), (4, "https://d.example/4", "<header class=x>no</header><article>Yes</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("low", F.lit(2)).withColumn("text", F.lit("no"))
+    assert {r.page_id: r.text for r in op2.extract(df).collect()} == {1: "A ruling", 2: "Title Story", 3: "Text", 4: "Yes"}
+
+
 def brute_classes(rows):
     bags = {}
     for k, (_, t, *_x) in enumerate(rows):
