@@ -2,7 +2,7 @@
 
 The DOMs of one host are merged: block elements with the same path of labels (tag, classes, id without digits) are one
 node of the site's tree. For a node found on m pages of the host
-- presentation: its variants are the sequences of its children's labels, p_i their shares; importance -sum p_i log_m p_i;
+- presentation: its variants are the sequences of its children's labels, p_i their shares; importance -sum p_i log_m p_i, 1 at most;
 - content: the texts of its own blocks, df_i the pages that hold text i; importance 1 - sum df_i log_m(df_i) / sum df_i;
 and a node's composite importance is (1 - g^l) presentation + g^l (share-weighted children and content), l its variants.
 Branches below LOW (CORE_LOW inside article or main) are removed from each page, as are those whose label says what they are
@@ -14,26 +14,33 @@ Text: character references decoded, white space inside a block becomes one space
 space. Null html is empty; broken markup is read as far as it goes, in time linear in the page. Pages without a host in their url
 share the host ''. Rows that repeat are pages of their own; importance ties with the threshold stay; an empty table gives an
 empty one; other columns than page_id, url and html aren't read.
-A host's pages are never gathered: counts are summed by (host, node, feature), and one row per node goes on.
+Neither a host's pages nor its nodes are gathered: counts are summed by (node, feature), a node's key holding its host, and
+importances go up the tree level by level, each a join of nodes with the sums of their children. Blocks deeper than LEVELS
+belong to their ancestor there. The nodes to remove go to every task while they are LOW_BROADCAST at most; beyond, each page's
+nodes are shuffle-joined with them.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batches, materialize, table, tuned
+from rillflow.llm.common import U64, batches, materialize, table, tuned
 
 LOW, CORE_LOW, MIN_PAGES, DAMPING = 0.3, 0.1, 5, 0.9
 LINKS = 0.6
+LEVELS = 64
+#: Nodes, of 8 bytes each.
+LOW_BROADCAST = 1 << 21
 #: HTML's elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg object select canvas video audio".split())
@@ -110,9 +117,10 @@ def markup(source: str) -> Iterator[tuple[int, int, bool, str, str, str]]:
 class Page:
     """The block elements of a page and its text blocks in order."""
 
-    def __init__(self, source: str):
-        #: Per node: parent, label, path key, noise (inherited), core (inherited), child labels.
-        self.parent, self.label, self.key, self.noise, self.core, self.children = [-1], [""], [0], [False], [False], [[]]
+    def __init__(self, source: str, host: str = ""):
+        #: Per node: parent, label, key of its path, key of the path's parent, depth, noise (inherited), core (inherited), child labels.
+        self.parent, self.label, self.key, self.up, self.depth = [-1], [""], [xxhash.xxh3_64_intdigest(host)], [0], [0]
+        self.noise, self.core, self.children = [False], [False], [[]]
         self.blocks: list[tuple[int, str, float]] = []
         self._read(source)
 
@@ -121,7 +129,10 @@ class Page:
         self.children[at].append(label)
         self.parent.append(at)
         self.label.append(label)
-        self.key.append(xxhash.xxh3_64_intdigest(label, seed=self.key[at]))
+        deep = self.depth[at] >= LEVELS
+        self.key.append(self.key[at] if deep else xxhash.xxh3_64_intdigest(label, seed=self.key[at]))
+        self.up.append(self.up[at] if deep else self.key[at])
+        self.depth.append(LEVELS if deep else self.depth[at] + 1)
         # within an article a header holds its title, unless its names say otherwise
         self.noise.append(noise is None or noise and not (tag == "header" and self.core[at]) or self.noise[at])
         self.core.append(tag in CORE_TAGS and not self.noise[-1] or self.core[at] or "main" in attributes and 'role="main"' in attributes)
@@ -199,83 +210,99 @@ class Page:
         return [t for n, t in sound if not gone[n]] or [t for _, t in sound]
 
 
-HOSTED = "host string, node long, up long, core boolean, kind int, feature long, n long"
+COUNTED = "node long, up long, depth int, kind int, feature long, n long"
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def signed(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, U64).view(np.int64))
 
 
 def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages by (host, node, kind, feature): kind 0 pages with the node, 1 variants of children, 2 texts."""
+    """Pages by (node, kind, feature): kind 0 pages with the node, 1 variants of children, 2 texts, 3 pages where it is in the core."""
     for b in batches(it, 4000, 1, 32_000_000):
         found: Counter = Counter()
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            page = Page(source.decode("utf-8", "replace"))
+            page = Page(source.decode("utf-8", "replace"), host)
             seen = set()
             for n in range(1, len(page.key)):
                 if page.noise[n]:
                     continue
-                base = (host, page.key[n], page.key[page.parent[n]], page.core[n])
+                base = (page.key[n], page.up[n], page.depth[n])
                 shape = [c for i, c in enumerate(page.children[n]) if i == 0 or c != page.children[n][i - 1]]
                 seen.add((*base, 0, 0))
                 seen.add((*base, 1, xxhash.xxh3_64_intdigest("|".join(shape))))
+                if page.core[n]:
+                    seen.add((*base, 3, 0))
             for n, text, _ in page.blocks:
                 if n and not page.noise[n]:
-                    seen.add((host, page.key[n], page.key[page.parent[n]], page.core[n], 2, xxhash.xxh3_64_intdigest(text)))
+                    seen.add((page.key[n], page.up[n], page.depth[n], 2, xxhash.xxh3_64_intdigest(text)))
             found.update(seen)
-        rows = list(found.items())
-        cols = [[k[i] for k, _ in rows] for i in range(6)]
+        cols = [[k[i] for k in found] for i in range(5)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array([signed(x) for x in cols[1]], pa.int64()), pa.array([signed(x) for x in cols[2]], pa.int64()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int32()), pa.array([signed(x) for x in cols[5]], pa.int64()), pa.array([n for _, n in rows], pa.int64())],
-            names=["host", "node", "up", "core", "kind", "feature", "n"],
+            [signed(cols[0]), signed(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), signed(cols[4]), pa.array(list(found.values()), pa.int64())],
+            names=["node", "up", "depth", "kind", "feature", "n"],
         )
 
 
-def unimportant(tree: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of one host's style tree whose composite importance is low."""
-    children = defaultdict(list)
-    rows = {r.node: r for r in tree.itertuples()}
-    for r in rows.values():
-        children[r.up].append(r.node)
-    value: dict[int, float] = {}
-    todo = [(n, False) for n in rows]
-    while todo:
-        n, ready = todo.pop()
-        if n in value:
-            continue
-        r = rows[n]
-        own = [c for c in children[n] if c != n]
-        if not ready and any(c not in value for c in own):
-            todo.append((n, True))
-            todo += [(c, False) for c in own if c not in value]
-            continue
-        parts = [(rows[c].pages, value.get(c, 1.0)) for c in own]
-        if r.texts > 0:
-            parts.append((r.texts, r.content))
-        below = sum(w * v for w, v in parts) / sum(w for w, _ in parts) if parts else 1.0
-        damp = DAMPING ** max(1, r.variants)
-        value[n] = (1 - damp) * r.presentation + damp * below if own else below
-    low = [n for n, r in rows.items() if r.pages >= MIN_PAGES and value[n] < (CORE_LOW if r.core else LOW)]
-    return pd.DataFrame({"host": [tree["host"].iloc[0]], "low": [low]})
-
-
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, low): the keys of the nodes to remove, of each host that has any page (host, html as bytes)."""
-    by = pages.select("host", "html").mapInArrow(counted, HOSTED).groupBy("host", "node", "up", "core", "kind", "feature").agg(F.sum("n").alias("n"))
+def style_nodes(pages: DataFrame) -> DataFrame:
+    """A row for each node of the sites' trees, with its own importances, of pages (host, html as bytes)."""
+    by = pages.select("host", "html").mapInArrow(counted, COUNTED).groupBy("node", "up", "depth", "kind", "feature").agg(F.sum("n").alias("n"))
     n, kind = F.col("n").cast("double"), F.col("kind")
     only = lambda k, x: F.sum(F.when(kind == k, x).otherwise(0.0))
-    node = by.groupBy("host", "node").agg(F.first("up").alias("up"), F.first("core").alias("core"), only(0, n).alias("pages"), only(1, F.lit(1.0)).alias("variants"), only(1, n * F.log(n)).alias("s1"), only(2, n).alias("texts"), only(2, n * F.log(n)).alias("s2"))
-    # -sum p log_m p with p = n / m, and 1 - sum df log_m df / sum df; both 1 on a single page
+    sums = {"pages": only(0, n), "core": only(3, n) > 0, "variants": only(1, F.lit(1.0)), "shapes": only(1, n), "s1": only(1, n * F.log(n)), "texts": only(2, n), "s2": only(2, n * F.log(n))}
+    node = by.groupBy("node", "up", "depth").agg(*[v.alias(k) for k, v in sums.items()])
+    # -sum p log_m p with p = n / sum n, and 1 - sum df log_m df / sum df; both 1 on a single page
     m = F.greatest(F.col("pages"), F.lit(1.0))
-    node = node.withColumn("presentation", F.when(m <= 1, 1.0).otherwise(1 - F.col("s1") / (m * F.log(m))))
-    node = node.withColumn("content", F.when((m <= 1) | (F.col("texts") == 0), 1.0).otherwise(1 - F.col("s2") / (F.col("texts") * F.log(m))))
-    schema = "host string, low array<long>"
-    return node.select("host", "node", "up", "core", "pages", "variants", "presentation", "texts", "content").groupBy("host").applyInPandas(unimportant, schema)
+    entropy = (F.log("shapes") - F.col("s1") / F.col("shapes")) / F.log(m)
+    node = node.withColumn("presentation", F.when(m <= 1, 1.0).otherwise(F.least(F.lit(1.0), entropy)))
+    return node.withColumn("content", F.when((m <= 1) | (F.col("texts") == 0), 1.0).otherwise(1 - F.col("s2") / (F.col("texts") * F.log(m)))).drop("shapes", "s1", "s2")
+
+
+def importances(nodes: DataFrame) -> DataFrame:
+    """The nodes with their composite importance (value): from the deepest level up, each node from its own importances and
+    those of its children."""
+    nodes = materialize(nodes.sortWithinPartitions("depth"), "style-nodes")
+    levels, kids = [], None
+    for depth in range(nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], 0, -1):
+        own = nodes.where(F.col("depth") == depth)
+        own = own.join(kids, F.col("node") == F.col("of"), "left") if kids is not None else own.select("*", *[F.lit(None).cast("double").alias(k) for k in ("below_n", "below_sum")])
+        weight = F.coalesce(F.col("below_n"), F.lit(0.0)) + F.col("texts")
+        below = F.when(weight > 0, (F.coalesce(F.col("below_sum"), F.lit(0.0)) + F.col("texts") * F.col("content")) / weight).otherwise(1.0)
+        damp = F.pow(F.lit(DAMPING), F.greatest(F.lit(1.0), F.col("variants")))
+        value = F.when(F.col("below_n").isNull(), below).otherwise((1 - damp) * F.col("presentation") + damp * below)
+        own = materialize(own.select("node", "up", "depth", "core", "pages", value.alias("value")), "style-level")
+        kids = own.groupBy(F.col("up").alias("of")).agg(F.sum("pages").alias("below_n"), F.sum(F.col("pages") * F.col("value")).alias("below_sum"))
+        levels.append(own)
+    return reduce(DataFrame.unionAll, levels) if levels else nodes.select("node", "up", "depth", "core", "pages", F.lit(1.0).alias("value"))
+
+
+def unimportant(pages: DataFrame) -> DataFrame:
+    """(node): the nodes to remove, of pages (host, html as bytes)."""
+    low = F.col("value") < F.when(F.col("core"), CORE_LOW).otherwise(LOW)
+    return importances(style_nodes(pages)).where((F.col("pages") >= MIN_PAGES) & low).select("node")
+
+
+def among(low: np.ndarray, page: Page) -> set[int]:
+    """Those of the sorted keys that are keys of the page."""
+    if not len(low):
+        return set()
+    keys = np.array(page.key, U64)
+    return set(keys[low[np.minimum(np.searchsorted(low, keys), len(low) - 1)] == keys].tolist())
+
+
+def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, node) of the nodes of each page."""
+    for b in batches(it, 2000, 2, 32_000_000):
+        rows, nodes = [], []
+        for row, host, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            keys = set(Page(source.decode("utf-8", "replace"), host).key)
+            rows += [row] * len(keys)
+            nodes += keys
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), signed(nodes)], names=["row", "node"])
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
@@ -285,17 +312,26 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages."""
     tuned(pages.sparkSession)
     own = pages.select("page_id", "url", host_of("url").alias("host"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    low = materialize(style_trees(own).where(F.size("low") > 0).withColumnRenamed("host", "low_host"), "style-trees")
+    low = materialize(unimportant(own), "style-low")
+    few = low.count() <= LOW_BROADCAST
+    sent = own.sparkSession.sparkContext.broadcast(np.sort(low.toArrow().column("node").to_numpy().view(U64)) if few else None)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 2000, 2, 32_000_000):
+        for b in batches(it, 2000, 3, 32_000_000):
             texts = []
-            for source, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                keys = {k & 0xFFFFFFFFFFFFFFFF for k in gone} if gone else None
-                texts.append(" ".join(Page(source.decode("utf-8", "replace")).kept(keys)))
+            for host, source, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                page = Page(source.decode("utf-8", "replace"), host)
+                keys = among(sent.value, page) if few else {k & 0xFFFFFFFFFFFFFFFF for k in gone or ()}
+                texts.append(" ".join(page.kept(keys)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low").mapInArrow(run, EXTRACTED)
+    if few:
+        rows = own.withColumn("low", F.lit(None).cast("array<long>"))
+    else:
+        rows = materialize(own.withColumn("row", F.monotonically_increasing_id()), "style-pages")
+        hits = rows.select("row", "host", "html").mapInArrow(listed, "row long, node long").join(low, "node")
+        rows = rows.join(hits.groupBy("row").agg(F.collect_set("node").alias("low")), "row", "left")  # a page's own nodes at most
+    return rows.select("page_id", "url", "host", "html", "low").mapInArrow(run, EXTRACTED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

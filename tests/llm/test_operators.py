@@ -205,6 +205,83 @@ def test_style_tree_keeps_articles_by_any_name(spark):
     assert {r.page_id: r.text for r in op2.extract(df).collect()} == {1: "A ruling", 2: "Title Story", 3: "Text", 4: "Yes"}
 
 
+def brute_site(pages):
+    """The texts that stay of a host's pages, each a list of (label, text, children); every node holds its text before its children."""
+    seen = {}
+
+    def walk(nodes, path, k):
+        for label, text, kids in nodes:
+            own = seen.setdefault((*path, label), {"pages": set(), "shapes": set(), "texts": set()})
+            own["pages"].add(k)
+            shape = [c[0] for c in kids]
+            own["shapes"].add((k, tuple(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])))
+            if text:
+                own["texts"].add((k, text))
+            walk(kids, (*path, label), k)
+
+    for k, page in enumerate(pages):
+        walk(page, (), k)
+
+    def value(path):
+        own = seen[path]
+        m = len(own["pages"])
+        shapes, texts = Counter(s for _, s in own["shapes"]), Counter(x for _, x in own["texts"])
+        content = 1 - sum(n * math.log(n, m) for n in texts.values()) / texts.total() if m > 1 and texts else 1.0
+        parts = [(len(seen[c]["pages"]), value(c)) for c in seen if len(c) == len(path) + 1 and c[:-1] == path]
+        below = [*parts, *([(texts.total(), content)] if texts else [])]
+        mean = sum(w * v for w, v in below) / sum(w for w, _ in below) if below else 1.0
+        if not parts:
+            return mean
+        share = [n / shapes.total() for n in shapes.values()]
+        looks = min(1.0, -sum(p * math.log(p, m) for p in share)) if m > 1 else 1.0
+        return (1 - op2.DAMPING ** len(shapes)) * looks + op2.DAMPING ** len(shapes) * mean
+
+    low = {p for p in seen if len(seen[p]["pages"]) >= op2.MIN_PAGES and value(p) < op2.LOW}
+
+    def texts(nodes, path, strict):
+        for label, text, kids in nodes:
+            if not strict or (*path, label) not in low:
+                yield from [text] if text else []
+                yield from texts(kids, (*path, label), strict)
+
+    return [" ".join([*texts(p, (), True)] or texts(p, (), False)) for p in pages], low
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_style_tree_is_that_of_brute_force_entropies(spark, monkeypatch, shuffled):
+    """Neutral names and no article: the sites' trees alone decide, and each host's for itself."""
+    rng = random.Random(5)
+
+    def node(site, depth):
+        label = rng.choice("abcdef")
+        text = rng.choice(["", f"set {site} {label}", f"set {site} {label}", prose(rng.randrange(10**6), 6)])
+        return (f"div.x{label}", text, [node(site, depth + 1) for _ in range(rng.randrange(4 if depth < 4 else 1))])
+
+    def written(nodes):
+        return "".join(f"<div class='{label[4:]}'>{text}{written(kids)}</div>" for label, text, kids in nodes)
+
+    hosts = {h: [[("div.xtop", f"Welcome to {h}", []), node(h, 1), node(h, 1), ("div.xend", "", [("div.xa", "Same on all", [])])] for _ in range(n)] for h, n in (("m.example", 40), ("n.example", 9), ("o.example", 4))}
+    if shuffled:
+        monkeypatch.setattr(op2, "LOW_BROADCAST", -1)
+    rows, want = [], {}
+    for h, pages in hosts.items():
+        kept, low = brute_site(pages)
+        assert bool(low) == (len(pages) >= op2.MIN_PAGES)
+        for page, text in zip(pages, kept, strict=True):
+            want[len(rows)] = text
+            rows.append((len(rows), f"https://{h}/{len(rows)}", written(page)))
+    got = {r.page_id: r.text for r in op2.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert any("Welcome" in x for x in got.values()) and not any("Welcome to m.example" in x for x in got.values())
+
+
+def test_style_tree_of_deep_pages(spark):
+    rows = [(i, "https://e.example/", "<div>" * 300 + prose(i, 9) + "</div><p>" + prose(i + 50, 5)) for i in range(6)]
+    rows += [(9, "https://e.example/", "<div class=z>" * 300 + "end")]
+    got = {r.page_id: r.text for r in op2.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{prose(i, 9)} {prose(i + 50, 5)}" for i in range(6)} | {9: "end"}
+
+
 def brute_classes(rows):
     bags = {}
     for k, (_, t, *_x) in enumerate(rows):
