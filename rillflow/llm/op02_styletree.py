@@ -39,6 +39,8 @@ from rillflow.llm.common import U64, batches, materialize, table, tuned
 LOW, CORE_LOW, MIN_PAGES, DAMPING = 0.3, 0.1, 5, 0.9
 LINKS = 0.6
 LEVELS = 64
+#: Nodes of a level, of some 50 bytes each, that one task writes.
+LEVEL_ROWS = 200_000
 #: Nodes, of 8 bytes each.
 LOW_BROADCAST = 1 << 21
 #: HTML's elements by how they are read.
@@ -267,14 +269,14 @@ def importances(nodes: DataFrame) -> DataFrame:
     those of its children."""
     nodes = materialize(nodes.sortWithinPartitions("depth"), "style-nodes")
     levels, kids = [], None
-    for depth in range(nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], 0, -1):
+    for depth, n in sorted(((r.depth, r["count"]) for r in nodes.groupBy("depth").count().collect()), reverse=True):  # LEVELS rows at most
         own = nodes.where(F.col("depth") == depth)
         own = own.join(kids, F.col("node") == F.col("of"), "left") if kids is not None else own.select("*", *[F.lit(None).cast("double").alias(k) for k in ("below_n", "below_sum")])
         weight = F.coalesce(F.col("below_n"), F.lit(0.0)) + F.col("texts")
         below = F.when(weight > 0, (F.coalesce(F.col("below_sum"), F.lit(0.0)) + F.col("texts") * F.col("content")) / weight).otherwise(1.0)
         damp = F.pow(F.lit(DAMPING), F.greatest(F.lit(1.0), F.col("variants")))
         value = F.when(F.col("below_n").isNull(), below).otherwise((1 - damp) * F.col("presentation") + damp * below)
-        own = materialize(own.select("node", "up", "depth", "core", "pages", value.alias("value")), "style-level")
+        own = materialize(own.select("node", "up", "depth", "core", "pages", value.alias("value")).coalesce(1 + n // LEVEL_ROWS), "style-level")
         kids = own.groupBy(F.col("up").alias("of")).agg(F.sum("pages").alias("below_n"), F.sum(F.col("pages") * F.col("value")).alias("below_sum"))
         levels.append(own)
     return reduce(DataFrame.unionAll, levels) if levels else nodes.select("node", "up", "depth", "core", "pages", F.lit(1.0).alias("value"))
