@@ -9,6 +9,8 @@ Documents come in batches from the greatest ids down. A batch's keys are anti-jo
 one row of the batch alone holds is settled, as that row is its last document; all other lines are put by. A line is
 dropped if its key is found in at least MIN_DOCS documents and its document isn't the key's last: how many hold it is known
 after the last batch, so lines that were put by are joined with the merged runs then. A store that is kept serves later batches.
+In these joins the keys that more than one in HEAVY of the rows hold, fewer than HEAVY of them at any size, are sent to the rows, as
+a common line's rows would else meet in one task; the rows of the others are dealt by key.
 
 A key is the line stripped of ASCII white space at both ends, A-Z lower-cased; keys under MIN_CHARS code points are
 never dropped. Null or empty texts are one empty line, and an empty table gives an empty one. Every row is a document; rows that
@@ -36,6 +38,8 @@ BATCHES, FANOUT = 4, 2
 #: Keys in one bucket of a run, about.
 BUCKET_KEYS, LEAST_BUCKETS = 1_000_000, 16
 _SPACE = b" \t\n\x0b\x0c\r"
+#: 1 / HEAVY of all rows are too many for one task; as many keys, of 40 bytes each, aren't too many to send.
+HEAVY = 20_000
 RUN = "hi long, lo long, n_docs long, last_doc long"
 
 
@@ -67,6 +71,14 @@ def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(key[:, 0]), pa.array(key[:, 1]), b.column(1).take(rows), b.column(2).take(rows)], schema=KEYED)
 
 
+def join_keys(rows: DataFrame, run: DataFrame, total: int) -> DataFrame:
+    """The inner join of rows (hi, lo, ...) with a run, whose n_docs are total at most in sum."""
+    many = F.col("n_docs") > total // HEAVY
+    heavy = F.broadcast(materialize(run.where(many), "heavy"))  # fewer than HEAVY keys can have that many of total
+    rest = rows.join(heavy.select("hi", "lo"), ["hi", "lo"], "left_anti").join(run.where(~many), ["hi", "lo"])
+    return rows.join(heavy, ["hi", "lo"]).unionByName(rest)
+
+
 class LineRuns:
     """A store of levelled sorted runs in one folder. add() takes (hi, lo, doc_id), one row per key and document."""
 
@@ -74,7 +86,7 @@ class LineRuns:
         self.spark, self.path, self.fanout, self.buckets = spark, path or fresh_path(spark, "runs"), fanout, buckets
         self.levels: list[list[str]] = []
         self.name = f"rillflow_{uuid.uuid4().hex}"
-        self.written = 0
+        self.written, self.total = 0, 0
 
     def _write(self, run: DataFrame, level: int) -> str:
         name, at = f"{self.name}_{self.written}", f"{self.path}/level={level}/run={self.written}"
@@ -98,16 +110,21 @@ class LineRuns:
         return out
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Adds a batch's run. Returns the keys (hi, lo) of the batch that aren't settled by it: the anti join with the runs before
-        has left them out, or several of the batch's rows hold them."""
+        """Adds a batch's run; returns the keys (hi, lo) that aren't settled by it."""
+        return self.add_counted(keys).select("hi", "lo")
+
+    def add_counted(self, keys: DataFrame) -> DataFrame:
+        """Adds a batch's run. Returns what it has of the keys (hi, lo, n_docs, last_doc) that aren't settled by it: the anti join
+        with the runs before has left them out, or several of the batch's rows hold them."""
         before = self.rows() if any(self.levels) else None
         own = self._write(keys.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
         run = self.spark.table(own)
+        self.total += run.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
         if before is not None:
             fresh = run.hint("merge").join(before.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti").where("n_docs = 1")
         else:
             fresh = run.where("n_docs = 1")
-        open_keys = run.hint("merge").join(fresh.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti").select("hi", "lo")
+        open_keys = run.hint("merge").join(fresh.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti")
         open_keys = materialize(open_keys, "open-keys")
         level = 0
         while len(self.levels[level]) >= self.fanout:  # compaction
@@ -126,7 +143,7 @@ class LineRuns:
     def dropped(self, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         """The rows of keys (hi, lo, doc_id, ...) that the runs let go."""
         often = self.rows().where(F.col("n_docs") >= min_docs)
-        return keys.join(often, ["hi", "lo"]).where(F.coalesce(F.col("doc_id") < F.col("last_doc"), F.col("doc_id").isNull() & F.col("last_doc").isNotNull()))
+        return join_keys(keys, often, self.total).where(F.coalesce(F.col("doc_id") < F.col("last_doc"), F.col("doc_id").isNull() & F.col("last_doc").isNotNull()))
 
     def close(self) -> None:
         for name in [p for level in self.levels for p in level]:
@@ -169,8 +186,10 @@ def dedup_lines(docs: DataFrame, store: LineRuns | None = None, with_text: bool
     waiting = []
     for b in range(BATCHES):
         own = keys.where(F.col("batch") == b)
-        open_keys = store.add(own.select("hi", "lo", "doc_id"))
-        waiting.append(materialize(own.select("hi", "lo", "doc_id", "text_key").distinct().join(open_keys, ["hi", "lo"], "left_semi"), "put-by"))
+        before = store.total
+        open_keys = store.add_counted(own.select("hi", "lo", "doc_id"))
+        rows = join_keys(own.select("hi", "lo", "doc_id", "text_key"), open_keys, store.total - before)
+        waiting.append(materialize(rows.select("hi", "lo", "doc_id", "text_key").distinct(), "put-by"))
     gone = store.dropped(reduce(DataFrame.unionByName, waiting))
     digest = F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("hi", "lo")]))
     per_doc = gone.select("doc_id", "text_key", digest.alias("k")).groupBy("doc_id", "text_key").agg(F.array_join(F.transform(F.collect_list("k"), F.hex), "").alias("k"))

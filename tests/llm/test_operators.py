@@ -756,6 +756,16 @@ def test_line_dedup_tells_rows_with_one_id_apart(spark):
     assert sorted(((g.doc_id, g.n_lines, g.n_dropped, g.kept_sha256) for g in got), key=str) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("heavy", [1, 5, 60])
+def test_line_dedup_sends_common_lines_to_their_rows(spark, monkeypatch, heavy):
+    monkeypatch.setattr(op10, "HEAVY", heavy)
+    r = random.Random(heavy)
+    lines = ["the line on every second page", *(f"a line shared by some pages {k}" for k in range(12))]
+    rows = [(i if i % 9 else None, "\n".join([lines[0]] * (i % 2) + [r.choice(lines) for _ in range(4)] + [f"own line of the page {i}"])) for i in range(60)]
+    got = op10.dedup_lines(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert sorted(((g.doc_id, g.n_lines, g.n_dropped, g.kept_sha256) for g in got), key=str) == brute_lines(rows)
+
+
 def test_line_runs_keep_levels(spark):
     store = op10.LineRuns(spark, fanout=2)
     for b in range(5):
