@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillflow.functions.ship import ship
 from rillflow.functions.tables import hann
+from rillflow.sources.signals import RANGE
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -29,16 +31,36 @@ def read_stream(spark: SparkSession, path: str, files: int | None = None) -> Dat
     return (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def collected(df: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Runs a stream over what is there now and returns what it gave: all rows in append mode, the last state in complete mode."""
-    spark, sink = df.sparkSession, shared_path(df.sparkSession, name)
+@dataclass
+class Stepped:
+    """A stream each of whose micro-batches is a query over its rows and what was kept of those before: step(batch, kept) gives
+    (rows, what to keep). No process holds a signal, however long it is within a micro-batch."""
+
+    source: DataFrame
+    schema: str
+    state: str
+    step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def collected(df: DataFrame | Stepped, mode: str = "append", name: str = "stream") -> DataFrame:
+    """Runs a stream over what is there now and returns what it gave: all rows in append mode, the last state in complete mode. What
+    a stepped one keeps is a table for each micro-batch, beside the rows."""
+    stepped = df if isinstance(df, Stepped) else None
+    source = stepped.source if stepped else df
+    spark, sink = source.sparkSession, shared_path(source.sparkSession, name)
 
     def keep(batch: DataFrame, number: int) -> None:
+        if stepped:
+            own = batch.sparkSession
+            kept = own.read.schema(stepped.state).parquet(f"{sink}/kept/{number - 1}") if number else own.createDataFrame([], stepped.state)
+            batch, rest = stepped.step(batch, kept)
+            rest.write.mode("overwrite").parquet(f"{sink}/kept/{number}")
         batch.write.mode("overwrite").parquet(f"{sink}/rows" if mode == "complete" else f"{sink}/rows/batch={number}")
 
-    query = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start()
+    query = source.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{sink}/rows").select(*df.columns)
+    got = spark.read.schema(stepped.schema if stepped else df.schema).parquet(f"{sink}/rows")
+    return got.drop("batch") if stepped else got.select(*df.columns)
 
 
 def telemetry(query) -> list[dict]:
@@ -81,21 +103,25 @@ def stream_frames(df: DataFrame, frame: int, hop: int) -> DataFrame:
     return df.select("signal_id", "n", "x").groupBy("signal_id").applyInPandasWithState(step, "signal_id string, hop long, s array<double>", "hops long, tail array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def late_events(df: DataFrame, size: int) -> DataFrame:
+def late_events(df: DataFrame, size: int) -> Stepped:
     """(signal_id, seq, at) to (signal_id, seq, block, offset). The furthest block that an event has reached is where a signal's
-    transport stands; an event from before applies at that block's start and isn't dropped."""
-    ship(df.sparkSession)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (stand,) = state.get if state.exists else (0,)
-        parts = list(batches)
-        pdf = (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values("seq")
-        reached = np.maximum.accumulate(np.append(stand, pdf["at"].to_numpy() // size))
-        at = np.maximum(pdf["at"].to_numpy(), reached[:-1] * size)
-        state.update((int(reached[-1]),))
-        yield pd.DataFrame({"signal_id": key[0], "seq": pdf["seq"].to_numpy(), "block": at // size, "offset": at % size})
-
-    return df.select("signal_id", "seq", "at").groupBy("signal_id").applyInPandasWithState(step, "signal_id string, seq long, block long, offset long", "stand long", "append", GroupStateTimeout.NoTimeout)
+    transport stands; an event from before applies at that block's start and isn't dropped. How far events had come is found for
+    ranges of seq first, then within a range, so a signal is in no one task."""
+    reach, past = F.expr(f"at div {size}"), (Window.unboundedPreceding, -1)
+
+    def step(batch: DataFrame, stood: DataFrame) -> tuple[DataFrame, DataFrame]:
+        at = batch.select("signal_id", "seq", "at").withColumn("_range", F.expr(f"seq div {RANGE}"))
+        far = at.groupBy("signal_id", "_range").agg(F.max(reach).alias("_far"))
+        far = far.join(stood.select(F.col("signal_id").alias("_own"), "stand"), F.col("signal_id").eqNullSafe(F.col("_own")), "left")
+        before = F.greatest(F.lit(0), "stand", F.max("_far").over(Window.partitionBy("signal_id").orderBy("_range").rowsBetween(*past)))
+        first = far.select(F.col("signal_id").alias("_key"), F.col("_range").alias("_r"), before.alias("_before"))
+        both = at.join(first, F.col("signal_id").eqNullSafe(F.col("_key")) & F.col("_range").eqNullSafe(F.col("_r")))
+        low = F.greatest("_before", F.max(reach).over(Window.partitionBy("signal_id", "_range").orderBy("seq").rowsBetween(*past)))
+        applied = both.withColumn("_at", F.greatest(F.col("at"), low * size))
+        stands = stood.unionByName(at.select("signal_id", F.greatest(F.lit(0), reach).alias("stand"))).groupBy("signal_id").agg(F.max("stand").alias("stand"))
+        return applied.select("signal_id", "seq", F.expr(f"_at div {size}").alias("block"), F.expr(f"_at % {size}").alias("offset")), stands
+
+    return Stepped(df, "signal_id string, seq long, block long, offset long", "signal_id string, stand long", step)
 
 
 def live_gain(df: DataFrame, params: DataFrame, size: int, default: float = 1.0) -> DataFrame:

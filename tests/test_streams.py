@@ -63,6 +63,23 @@ def test_late_events_apply_where_the_transport_stands(spark, tmp_path, parts):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_late_events_over_ranges_and_batches_leave_no_signal_to_python(spark, tmp_path, parts):
+    r = np.random.default_rng(7)
+    rows = [(name, k, int(k * 9_000 if name else k), int(v)) for name in ("a", "b", None) for k, v in enumerate(np.cumsum(r.integers(0, 30, 120)) - r.integers(0, 300, 120))]
+    s = fed(spark, spark.createDataFrame(rows, "signal_id string, n long, seq long, at long").repartition(5), parts, str(tmp_path))
+    got = {(e.signal_id, e.seq): (e.block, e.offset) for e in windows.collected(windows.late_events(s, 16), name="t").collect()}
+    stand, want = {}, {}
+    for name, _, seq, v in rows:
+        want[name, seq] = divmod(max(v, stand.get(name, 0) * 16), 16)
+        stand[name] = max(stand.get(name, 0), v // 16)
+    assert got == want
+    df = spark.createDataFrame(rows, "signal_id string, n long, seq long, at long")
+    given, kept = windows.late_events(df, 16).step(df, spark.createDataFrame([], "signal_id string, stand long"))
+    plans = [f._jdf.queryExecution().toString() for f in (given, kept)]
+    assert not any("Pandas" in p or "Python" in p for p in plans)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_live_parameters_and_telemetry(spark, tmp_path, parts):
     x = np.arange(1.0, 65.0)
