@@ -12,9 +12,15 @@ from rillflow.operators import history
 
 
 def demanded(df: DataFrame, length: Column) -> DataFrame:
-    """(signal_id, len, n): n below a length given in terms of len, the signal's own."""
-    size = df.groupBy("signal_id").agg((F.max("n") + 1).alias("len"))
-    return size.select("signal_id", "len", F.explode(F.sequence(F.lit(0).cast("long"), (length - 1).cast("long"))).alias("n"))
+    """(signal_id, len, n): n below a length given in terms of len, the signal's own. Each sample makes its share of them, so a
+    partition makes as many rows as it has samples for; from a table of lengths, which is small, few tasks would make all."""
+    whole = Window.partitionBy("signal_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = df.select("signal_id", "n", (F.max("n").over(whole) + 1).alias("len"), F.lag("n").over(history.order()).alias("_past"))
+    own = own.withColumn("_size", length.cast("long")).where("n >= 0")
+    first = (F.greatest(F.coalesce("_past", F.lit(-1)), F.lit(-1)) + 1) * F.col("_size")
+    own = own.select("signal_id", "len", first.alias("_from"), ((F.col("n") + 1) * F.col("_size")).alias("_to"))
+    own = own.withColumn("_from", F.expr("_from div len")).withColumn("_to", F.expr("_to div len - 1")).where("_from <= _to")
+    return own.select("signal_id", "len", F.explode(F.sequence("_from", "_to")).alias("n"))
 
 
 def buffer(df: DataFrame, length: Column, loop: bool) -> DataFrame:
@@ -57,8 +63,8 @@ def varied(df: DataFrame, ratio: Column, top: int = 4) -> DataFrame:
 
 def injected(df: DataFrame, start: int, length: int) -> DataFrame:
     """A window of a signal as a signal of its own: [start, start + length), silence past the end."""
-    names = df.groupBy("signal_id").agg(F.max("n").alias("last")).select("signal_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("n"))
-    return history.gather(df, names, F.col("n") + start).select("signal_id", "n", F.col("_v").alias("x"))
+    out = demanded(df, F.lit(length)).select("signal_id", "n")
+    return history.gather(df, out, F.col("n") + start).select("signal_id", "n", F.col("_v").alias("x"))
 
 
 def captured(df: DataFrame, skip: int, capacity: int) -> DataFrame:

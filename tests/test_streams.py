@@ -309,6 +309,23 @@ def test_sources(spark):
     assert column(players.tap(signal(spark, [1, 2]), 1, 2, 3)) == [1, 0, 2, 0]
 
 
+def test_demand_is_made_where_the_samples_are(spark):
+    short = spark.createDataFrame([(str(k), n) for k in range(300) for n in (0, 1, 4, 4)] + [("far", 9), ("before", -2), ("before", 1)], "signal_id string, n long")
+    for length, size in ((F.col("len") * 4, lambda v: v * 4), (F.lit(3), lambda v: 3), (F.lit(0), lambda v: 0), (F.col("len") + 5, lambda v: v + 5)):
+        got = sorted((r.signal_id, r.len, r.n) for r in players.demanded(short, length).collect())
+        assert got == sorted((s, v, n) for s, v in [(str(k), 5) for k in range(300)] + [("far", 10), ("before", 2)] for n in range(size(v)))
+    small = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for conf in small:
+        spark.conf.set(conf, "64k")
+    try:  # the table of lengths is in one partition of this size, the samples in all four
+        long = spark.range(400_000).select((F.col("id") % 40).cast("string").alias("signal_id"), F.expr("id div 40").alias("n"))
+        made = players.demanded(long, F.col("len")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for conf in small:
+            spark.conf.unset(conf)
+    assert len(made) == 4 and sum(r["count"] for r in made) == 400_000
+
+
 def test_numbering_over_ranges(spark):
     rows = [(k, i * 40_000 + k) for k in range(3) for i in range(9)]
     df = spark.createDataFrame(rows + [(None, 7)], "k int, o long").repartition(5)
