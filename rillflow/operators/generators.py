@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
-from itertools import accumulate
+from collections import namedtuple
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, groupby
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +100,45 @@ def envelope_step(level: float, stage: str, attack: float, decay: float, sustain
     return level, stage
 
 
+def envelope_run(n: int, level: float, stage: str, attack: float, decay: float, sustain: float, release: float) -> tuple[np.ndarray, float, str]:
+    """The levels before each of n steps of envelope_step, and where they end: the same sums, a stage at a time."""
+    levels, i = np.empty(n), 0
+    ends = {"attack": (attack, 1.0, 1.0, "decay"), "decay": (-decay, -sustain, sustain, "sustain"), "release": (-release, 0.0, 0.0, "idle")}
+    while i < n:
+        if stage not in ends:
+            levels[i] = level
+            level = sustain if stage == "sustain" else level
+            levels[i + 1 :] = level
+            break
+        step, bound, to, after = ends[stage]
+        line = np.full(n - i + 1, step)
+        line[0] = level
+        line = np.add.accumulate(line)
+        over = line[1:] >= bound if step is attack else -line[1:] >= bound
+        k = int(over.argmax()) if over.any() else -1
+        if k < 0:
+            levels[i:], level = line[:-1], float(line[-1])
+            break
+        levels[i : i + k + 1] = line[: k + 1]
+        level, stage, i = to, after, i + k + 1
+    return levels, level, stage
+
+
+@lru_cache
+def one_pole_taps(pole: float) -> np.ndarray | None:
+    """The impulse response of a one-pole lowpass as far as a double tells it, if that is short."""
+    rest = abs(1.0 - pole)
+    size = 1 if rest < 1e-20 else math.ceil(math.log(1e-20) / math.log(rest)) if rest < 0.5 else 0
+    return pole * (1.0 - pole) ** np.arange(size) if size else None
+
+
+def lowpassed(s: np.ndarray, pole: float, last: float) -> np.ndarray:
+    taps = one_pole_taps(pole)
+    if taps is None:
+        return np.array(list(accumulate(s.tolist(), lambda y, v: y + pole * (v - y), initial=last))[1:])
+    return np.convolve(s, taps)[: len(s)] + last * (1.0 - pole) ** np.arange(1, len(s) + 1)
+
+
 def adsr(gates: DataFrame, size: int, attack: float = 1 / 32, decay: float = 1 / 64, sustain: float = 0.5, release: float = 1 / 128) -> DataFrame:
     """(signal_id, block, gate) to (signal_id, block, y): a control value per block."""
     ship(gates.sparkSession)
@@ -152,13 +195,10 @@ class SawVoice:
         self.phase, p = float(p[-1]), p[:-1]
         up, down = p / dt, (p - 1.0) / dt
         s = 2.0 * p - 1.0 - np.where(p < dt, up + up - up * up - 1.0, np.where(p > 1.0 - dt, down * down + down + down + 1.0, 0.0))
-        low = list(accumulate(s.tolist(), lambda y, v: y + self.pole * (v - y), initial=self.lp))
-        levels = np.empty(n)
-        for i in range(n):
-            levels[i] = self.amount
-            self.amount, self.stage = envelope_step(self.amount, self.stage, *self.segments)
-        self.lp = low[-1]
-        out += self.velocity * levels * np.array(low[1:])
+        low = lowpassed(s, self.pole, self.lp)
+        levels, self.amount, self.stage = envelope_run(n, self.amount, self.stage, *self.segments)
+        self.lp = float(low[-1])
+        out += self.velocity * levels * low
 
 
 class VoicePool:
@@ -212,18 +252,46 @@ class VoicePool:
                 v.render_add(out[k, a:b])
 
 
+#: Samples in one row of a rendered signal, and in one batch.
+BLOCK = 1 << 14
+
+
 def _rendered(events: DataFrame, length: int, polyphony: int, steal: str, make, split: bool) -> DataFrame:
+    """(signal_id, n, y): the sum of the voices, or with split an array of them. A task takes its signals one after the other in order
+    of their events, so it holds one signal's samples and a batch of events; samples leave in blocks."""
     ship(events.sparkSession)
     require_voice(type(make()))
+    spark, names = events.sparkSession, ["signal_id", *[c for c in events.columns if c != "signal_id"]]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = VoicePool(make, polyphony, steal).render(list(pdf.sort_values(["at", "seq"]).itertuples()), length)
-        name = pdf["signal_id"].iloc[0]
+    def packed(rows: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+        y = pa.array(np.concatenate([part.reshape(-1) for _, _, part in rows]))
         if split:
-            return pd.DataFrame({"signal_id": name, "voice": np.repeat(np.arange(polyphony), length), "n": np.tile(np.arange(length), polyphony), "y": y.reshape(-1)})
-        return pd.DataFrame({"signal_id": name, "n": np.arange(length), "y": y.sum(axis=0)})
-
-    return events.groupBy("signal_id").applyInPandas(one, f"signal_id string, {'voice int, ' if split else ''}n long, y double")
+            y = pa.ListArray.from_arrays(pa.array(np.arange(0, len(y) + 1, polyphony, dtype=np.int32)), y)
+        ends = np.cumsum([0, *[len(part) for _, _, part in rows]], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), y)], names=["signal_id", "at", "y"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        event = namedtuple("Event", names, rename=True)
+        came = (event(*r) for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows, held = [], 0
+        for name, own in groupby(came, lambda e: e[0]):
+            y = VoicePool(make, polyphony, steal).render(own, length)
+            y = y.T if split else y.sum(axis=0)
+            for at in range(0, length, BLOCK):
+                rows.append((name, at, y[at : at + BLOCK]))
+                held += len(rows[-1][2])
+                if held >= BLOCK:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+    kinds = dict(events.dtypes)
+    given = [F.coalesce(c, F.lit(float("nan"))).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in names]
+    inside = events.select(*given).repartition(tasks, "signal_id").sortWithinPartitions("signal_id", F.asc_nulls_last("at"), F.asc_nulls_last("seq"))
+    out = inside.mapInArrow(run, f"signal_id string, at long, y {'array<array<double>>' if split else 'array<double>'}")
+    return out.select("signal_id", "at", F.posexplode("y").alias("_p", "y")).select("signal_id", (F.col("at") + F.col("_p")).alias("n"), "y")
 
 
 def voices(events: DataFrame, length: int, polyphony: int = 4, steal: str = "oldest", make=SawVoice) -> DataFrame:
@@ -231,6 +299,11 @@ def voices(events: DataFrame, length: int, polyphony: int = 4, steal: str = "old
     return _rendered(events, length, polyphony, steal, make, False)
 
 
-def voice_map(events: DataFrame, length: int, polyphony: int = 4, steal: str = "oldest", make=SawVoice) -> DataFrame:
-    """The same, each voice a row of its own (signal_id, voice, n, y), for what is done to single voices before they are summed."""
+def voice_bus(events: DataFrame, length: int, polyphony: int = 4, steal: str = "oldest", make=SawVoice) -> DataFrame:
+    """The same, y an array of the voices, for what is done to single voices before they are summed without an exchange."""
     return _rendered(events, length, polyphony, steal, make, True)
+
+
+def voice_map(events: DataFrame, length: int, polyphony: int = 4, steal: str = "oldest", make=SawVoice) -> DataFrame:
+    """The same, each voice a row of its own (signal_id, voice, n, y)."""
+    return voice_bus(events, length, polyphony, steal, make).select("signal_id", F.posexplode("y").alias("voice", "y"), "n").select("signal_id", "voice", "n", "y")

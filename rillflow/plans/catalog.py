@@ -550,7 +550,8 @@ def poly_voice(s, d):
 @query()
 def voice_map(s, d):
     """Voices rendered apart, then summed."""
-    return keyed(gen.voice_map(notes(s, d), 2000).groupBy("signal_id", "n").agg(F.sum("y").alias("y")), r6(F.col("y")))
+    apart = gen.voice_bus(notes(s, d), 2000, 4)
+    return keyed(apart, r6(sum((F.col("y")[k] for k in range(1, 4)), F.col("y")[0])))
 
 
 # Channels and mixing.

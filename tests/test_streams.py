@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillflow.operators import extend, generators, history, loops, recurrent, rewindow
 from rillflow.plans import analyzers
+from rillflow.plans.catalog import QUERIES
 from rillflow.plans.extended import Follower
 from rillflow.plans.flow import Cycle, Flow, Port
 from rillflow.sources import pcm, players
@@ -276,6 +277,32 @@ def test_voices_against_a_loop(spark):
         generators.require_voice(Follower)
 
 
+def test_voices_run_by_stage_equal_steps_and_need_no_exchange_to_be_summed(spark, tmp_path):
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        segments = (r.choice([0.01, 0.3, 2.0]), r.choice([0.001, 0.4]), r.choice([0.7, 0.0, 1.0]), r.choice([0.0005, 0.05]))
+        level, stage, n = float(r.random()), str(r.choice(["attack", "decay", "sustain", "release", "idle"])), int(r.choice([1, 7, 900]))
+        got, *end = generators.envelope_run(n, level, stage, *segments)
+        for v in got:
+            assert v == level
+            level, stage = generators.envelope_step(level, stage, *segments)
+        assert end == [level, stage]
+    x = r.normal(size=500)
+    for pole in (1.0, 0.9, 0.51, 0.3, 0.001, 1.2):
+        y = 0.4
+        for v, got in zip(x, generators.lowpassed(x, pole, 0.4), strict=True):
+            y += pole * (v - y)
+            assert abs(got - y) < 1e-12
+    rows = [(100 * u + k, u, kind, 1.0) for u in (3, 8, 1499) for k, kind in enumerate(("view", "view", "click", "buy", "view", "click", "click"))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    apart, whole = (QUERIES[q](spark, str(tmp_path)) for q in ("voice_map", "poly_voice"))
+    assert apart._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(apart.collect()) == sorted(whole.collect()) and whole.count() == 6000
+    df = spark.createDataFrame([(s, k, 40_000 * k, "on", k, 440.0, None if k == 2 else 0.5) for s in ("a", None) for k in range(3)], "signal_id string, seq long, at long, kind string, note int, pitch double, velocity double")
+    got = generators.voice_map(df, 100_000, 3).groupBy("signal_id", "voice").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.sum(F.isnan("y").cast("int")).alias("nan")).collect()
+    assert sorted((r.signal_id or "", r.voice, r.c, r.n, r.nan) for r in got) == [(s, v, 100_000, 99_999, 20_000 if v == 2 else 0) for s in ("", "a") for v in range(3)]
+
+
 def test_pool_rules():
     e = lambda kind, note, at=0, pitch=440.0: SimpleNamespace(kind=kind, note=note, at=at, pitch=pitch, velocity=0.5)
     pool = generators.VoicePool(generators.SawVoice, 2, "quietest")
