@@ -19,6 +19,11 @@ def frames(df: DataFrame, frame: int, hop: int, window: bool = True) -> DataFram
     Hann window; only whole hops. A hop is complete when its last sample is, so no count of the signal is needed."""
     if frame & (frame - 1) or not 0 < hop <= frame:
         raise ValueError("frame must be a power of two and hop at most frame")
+    return cut(df, frame, hop, window)
+
+
+def cut(df: DataFrame, frame: int, hop: int, window: bool = True) -> DataFrame:
+    """frames() of any length."""
     first, last = F.expr(f"n div {hop}"), F.expr(f"(n + {frame}) div {hop} - 1")
     at = df.select("signal_id", "n", "x", F.explode(F.sequence(first, last)).alias("hop"))
     at = at.withColumn("j", (F.col("n") - ((F.col("hop") + 1) * hop - frame)).cast("int"))

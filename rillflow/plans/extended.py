@@ -389,7 +389,7 @@ def stream_sessions(s, d):
 def stream_signals(s, d, key: str) -> DataFrame:
     """Signals as a stream of files: what user_signals or type_signals gives, written once in the shared folder."""
     path = windows.shared_path(s, "signals")
-    {"user": user_signals, "type": type_signals}[key](s, d).repartition("signal_id").sortWithinPartitions("signal_id", "n").write.parquet(path)
+    {"user": user_signals, "type": type_signals}[key](s, d).write.parquet(path)
     return windows.read_stream(s, path)
 
 

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rillflow.functions.ship import ship
-from rillflow.functions.tables import hann
-from rillflow.sources.signals import RANGE
+from rillflow.operators.rewindow import cut
+from rillflow.sources.signals import RANGE, numbered
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -85,22 +81,22 @@ def sessions(df: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return by.select("user_id", F.unix_timestamp("w.start").alias("start"), "rows")
 
 
-def stream_frames(df: DataFrame, frame: int, hop: int) -> DataFrame:
-    """Hopping count windows on a stream: the last frame - hop samples of each signal are its state. Equals frames() however the
-    samples are split, if each signal's come in order."""
-    ship(df.sparkSession)
-    window = hann(frame)
+def stream_frames(df: DataFrame, frame: int, hop: int) -> Stepped:
+    """Hopping count windows on a stream: the last samples of each signal are kept. Equals frames() however the samples are split, if
+    each signal's come in order. Positions are numbered by ranges of n and frames grouped by hop, so a signal is in no one task."""
+    if not 0 < hop <= frame:
+        raise ValueError("hop must be at most frame")
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hops, tail = state.get if state.exists else (0, [0.0] * (frame - hop))
-        parts = list(batches)
-        pdf = (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values("n")
-        line = np.concatenate([np.asarray(tail, float), pdf["x"].to_numpy()])
-        ready = max(0, (len(line) - (frame - hop)) // hop)
-        state.update((hops + ready, line[ready * hop :].tolist()))
-        yield pd.DataFrame({"signal_id": [key[0]] * ready, "hop": np.arange(hops, hops + ready), "s": [line[k * hop : k * hop + frame] * window for k in range(ready)]})
+    def step(batch: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+        size = kept.groupBy(F.col("signal_id").alias("_own")).agg((F.max("n") + 1).alias("_size"))
+        at = numbered(batch.select("signal_id", "n", "x"), "signal_id", "n", "_p").join(size, F.col("signal_id").eqNullSafe(F.col("_own")), "left")
+        line = kept.unionByName(at.select("signal_id", (F.col("_p") + F.coalesce("_size", F.lit(0))).alias("n"), "x"))
+        ends = line.groupBy(F.col("signal_id").alias("_own")).agg(F.max("n").alias("_last"))
+        rest = line.join(ends, F.col("signal_id").eqNullSafe(F.col("_own"))).where(F.col("n") > F.col("_last") - frame).select("signal_id", "n", "x")
+        given = cut(line, frame, hop).join(size, F.col("signal_id").eqNullSafe(F.col("_own")), "left")
+        return given.where((F.col("hop") + 1) * hop > F.coalesce("_size", F.lit(0))).select("signal_id", "hop", "s"), rest
 
-    return df.select("signal_id", "n", "x").groupBy("signal_id").applyInPandasWithState(step, "signal_id string, hop long, s array<double>", "hops long, tail array<double>", "append", GroupStateTimeout.NoTimeout)
+    return Stepped(df, "signal_id string, hop long, s array<double>", "signal_id string, n long, x double", step)
 
 
 def late_events(df: DataFrame, size: int) -> Stepped:

@@ -64,6 +64,18 @@ def test_late_events_apply_where_the_transport_stands(spark, tmp_path, parts):
     assert got == want
 
 
+@pytest.mark.parametrize(("frame", "hop"), [(32, 12), (24, 24), (20, 1)])
+def test_frames_of_a_stream_leave_no_signal_to_python(spark, tmp_path, frame, hop):
+    r = np.random.default_rng(frame)
+    df = signal(spark, r.normal(size=150)).unionByName(signal(spark, r.normal(size=41), None)).repartition(3)
+    got = windows.collected(windows.stream_frames(fed(spark, df, 4, str(tmp_path)), frame, hop), name="t").orderBy("signal_id", "hop").collect()
+    want = rewindow.cut(df, frame, hop).orderBy("signal_id", "hop").collect()
+    assert [(g.signal_id, g.hop, g.s) for g in got] == [(g.signal_id, g.hop, g.s) for g in want] and len(want) == 150 // hop + 41 // hop
+    given, kept = windows.stream_frames(df, frame, hop).step(df, spark.createDataFrame([], "signal_id string, n long, x double"))
+    plans = [f._jdf.queryExecution().toString() for f in (given, kept)]
+    assert not any("Pandas" in p or "Python" in p for p in plans)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_late_events_over_ranges_and_batches_leave_no_signal_to_python(spark, tmp_path, parts):
     r = np.random.default_rng(7)
