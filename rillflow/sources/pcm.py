@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from rillflow.operators import history
 
 #: Samples in one output batch.
 STEP = 1 << 16
+#: Bytes of a text in one row of an input batch.
+PIECE = 1 << 10
 
 
 def normalised(raw: bytes, form: str) -> np.ndarray:
@@ -73,18 +76,46 @@ def read_pcm(spark: SparkSession, path: str, form: str | None = None, channels:
 
 
 def byte_levels(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, mean, low) of each row's text read as unsigned 8-bit samples: one pass over the bytes."""
+    """(doc_id, n, mean, low) of each row's text read as unsigned 8-bit samples: one pass over the bytes. A text comes in pieces,
+    in order, so a batch holds as many bytes as its rows have room for, however long the texts are."""
     ship(docs.sparkSession)
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        ids, n, total, least = zip(*rows, strict=True)
+        mean = [(t - 128 * k) / 128 / k if k else None for t, k in zip(total, n, strict=True)]
+        low = [(v - 128) / 128 if k else None for v, k in zip(least, n, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(low, pa.float64())], names=["doc_id", "n", "mean", "low"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row whose pieces may go on in the next batch
         for b in it:
-            parts = [np.frombuffer(raw.as_buffer(), np.uint8) if raw.is_valid else np.empty(0, np.uint8) for raw in b.column(1)]
-            n = [len(p) for p in parts]
-            mean = [(int(p.sum(dtype=np.int64)) - 128 * len(p)) / 128 / len(p) if len(p) else None for p in parts]
-            low = [(int(p.min()) - 128) / 128 if len(p) else None for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(low, pa.float64())], names=["doc_id", "n", "mean", "low"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, mean double, low double")
+            ids, piece, raw = b.columns
+            if not len(ids):
+                continue
+            at = np.concatenate([[0], np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            whole = np.frombuffer(raw.buffers()[2], np.uint8) if at[-1] else np.empty(0, np.uint8)
+            firsts = np.flatnonzero(piece.to_numpy() == 0).tolist()
+            starts = firsts if firsts[:1] == [0] else [0, *firsts]
+            keys = ids.take(pa.array(starts, pa.int64())).to_pylist()
+            done = []
+            for key, i, j in zip(keys, starts, [*starts[1:], len(ids)], strict=True):
+                part = whole[at[i] : at[j]]
+                n, total, least = len(part), int(part.sum(dtype=np.int64)), int(part.min()) if len(part) else 255
+                if i == 0 and firsts[:1] != [0]:
+                    last = (last[0], last[1] + n, last[2] + total, min(last[3], least))
+                    continue
+                if last:
+                    done.append(last)
+                last = (key, n, total, least)
+            if done:
+                yield out(done)
+        if last:
+            yield out([last])
+
+    raw = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_raw"))
+    parts = raw.select("doc_id", "_raw", F.explode(F.expr(f"sequence(0, greatest(octet_length(_raw) - 1, 0) div {PIECE})")).alias("_piece"))
+    parts = parts.select("doc_id", "_piece", F.expr(f"substring(_raw, int(_piece) * {PIECE} + 1, {PIECE})").alias("_raw"))
+    return parts.mapInArrow(run, "doc_id long, n long, mean double, low double")
 
 
 def analysis_lpcm(spark: SparkSession, path: str, rate: int, source_rate: int, form: str | None = None, channels: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -378,6 +378,30 @@ def test_bytes_of_texts(spark):
     assert got == sorted([(1, 2, (65.5 - 128) / 128, (65 - 128) / 128), (1, 0, None, None), (None, 0, None, None), (2, 200_000, (0xC3 + 0xA9 - 256) / 256, (0xA9 - 128) / 128)], key=str)
 
 
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    sizes = [0, 1, pcm.PIECE, pcm.PIECE + 1, 3 * pcm.PIECE, 0, 7 * pcm.PIECE - 1, 1, 6 * pcm.PIECE]
+    rows = [(k // 2 if k % 4 else None, "".join(chr(32 + (i * (k + 3)) % 90) for i in range(n))) for k, n in enumerate(sizes)] + [(3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def want(key, text):
+        x = (np.frombuffer((text or "").encode(), np.uint8).astype(float) - 128) / 128
+        return (key, len(x), x.mean() if len(x) else None, x.min() if len(x) else None)
+
+    for size in ("1", "2", "3", "10000"):  # rows of a batch: texts end within, at and after the end of one
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sorted(((r.doc_id, r.n, r.mean, r.low) for r in pcm.byte_levels(df).collect()), key=str)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == sorted((want(*r) for r in rows), key=str)
+    assert pcm.byte_levels(df.where("false")).collect() == []
+
+    monkeypatch.setattr(type(df), "mapInArrow", lambda given, *_: given)  # what Python gets
+    given = pcm.byte_levels(df)
+    raw = [len(v) for r in given.collect() for v in r if isinstance(v, (bytes, bytearray))]
+    assert sum(raw) == sum(sizes) and max(raw) <= pcm.PIECE
+
+
 @pytest.mark.parametrize("r", [0.0, 1.0, -1.0, 0.9999, 0.5])
 def test_sums_at_the_edges(spark, r):
     x = np.random.default_rng(6).normal(size=9000)
