@@ -13,9 +13,12 @@ from rillflow.operators import history
 
 def demanded(df: DataFrame, length: Column) -> DataFrame:
     """(signal_id, len, n): n below a length given in terms of len, the signal's own. Each sample makes its share of them, so a
-    partition makes as many rows as it has samples for; from a table of lengths, which is small, few tasks would make all."""
+    partition makes as many rows as it has samples for; from a table of lengths, which is small, few tasks would make all. The number
+    of partitions is given, as Spark would merge them by the bytes they read, which are few against those they make."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = Window.partitionBy("signal_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = df.select("signal_id", "n", (F.max("n").over(whole) + 1).alias("len"), F.lag("n").over(history.order()).alias("_past"))
+    own = df.select("signal_id", "n").repartition(parts, "signal_id")
+    own = own.select("signal_id", "n", (F.max("n").over(whole) + 1).alias("len"), F.lag("n").over(history.order()).alias("_past"))
     own = own.withColumn("_size", length.cast("long")).where("n >= 0")
     first = (F.greatest(F.coalesce("_past", F.lit(-1)), F.lit(-1)) + 1) * F.col("_size")
     own = own.select("signal_id", "len", first.alias("_from"), ((F.col("n") + 1) * F.col("_size")).alias("_to"))

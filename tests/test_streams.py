@@ -365,6 +365,13 @@ def test_demand_is_made_where_the_samples_are(spark):
     assert len(made) == 4 and sum(r["count"] for r in made) == 400_000
 
 
+def test_demand_is_not_merged_by_what_it_reads(spark):
+    """What is read is small enough for one task by the planner's sizes, what is made isn't counted by them."""
+    df = spark.range(40_000).select((F.col("id") % 40).cast("string").alias("signal_id"), F.expr("id div 40").alias("n"))
+    made = [r["count"] for r in players.demanded(df, F.col("len") * 50).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 2_000_000 and len(made) == 4
+
+
 def test_numbering_over_ranges(spark):
     rows = [(k, i * 40_000 + k) for k in range(3) for i in range(9)]
     df = spark.createDataFrame(rows + [(None, 7)], "k int, o long").repartition(5)
